@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import read_table
+from lamina.llm.common import read_table, span_list
+from lamina.llm.decision_list import judge_quality
 from lamina.llm.mixing import SEED as MIX_SEED
 from lamina.llm.mixing import mix_sources
+from lamina.llm.secrets import scan_secrets
 from lamina.llm.sharding import shard_documents
 
 
@@ -41,13 +43,31 @@ FROM copies
 """
 
 
+def op6_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, a document being a repository and its source the owner."""
+    found = scan_secrets(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    n = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
+    live = F.size(F.filter("base", lambda s: s["live"])) + F.size("more")
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.concat("base", "more")).alias("spans"), live.cast("long").alias("n_live"),
+    )
+
+
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over eight shards of equal weight."""
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the base rule and the rules learned from labels."""
+    judged, _ = judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix_sources": op2_mix_sources, "op7_rendezvous_shards": op7_rendezvous_shards}
+    found = [op2_mix_sources, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
