@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import read_table, span_list
 from lamina.llm.decision_list import judge_quality
+from lamina.llm.minhash_join import near_duplicates
 from lamina.llm.mixing import SEED as MIX_SEED
 from lamina.llm.mixing import mix_sources
 from lamina.llm.secrets import scan_secrets
@@ -65,8 +66,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents, by shingles of four words."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mix_sources, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules]
+    found = [op2_mix_sources, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join]
     return {f.__name__: f for f in found}
 
 

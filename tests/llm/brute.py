@@ -41,3 +41,34 @@ def secrets(text):
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     return out + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
+def shingle_set(text, width=4):
+    w = words(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def components(docs, width=4, percent=80):
+    """doc_id -> (size, least reachable id), by an inverted index over all shingles."""
+    sets = {k: shingle_set(t, width) for k, t in docs.items()}
+    index = {}
+    for k, s in sets.items():
+        for x in s:
+            index.setdefault(x, []).append(k)
+    shared = {}
+    for found in index.values():
+        for i, a in enumerate(found):
+            for b in found[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: (len(s), find(k)) for k, s in sets.items()}
