@@ -12,6 +12,7 @@ from lamina.llm.decision_list import judge_quality
 from lamina.llm.minhash_join import near_duplicates
 from lamina.llm.mixing import SEED as MIX_SEED
 from lamina.llm.mixing import mix_sources
+from lamina.llm.packing import pack_documents
 from lamina.llm.secrets import scan_secrets
 from lamina.llm.sharding import shard_documents
 
@@ -44,6 +45,11 @@ FROM copies
 """
 
 
+def op5_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, a document being a repository and its source the owner."""
     found = scan_secrets(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
@@ -72,7 +78,7 @@ def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mix_sources, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join]
+    found = [op2_mix_sources, op5_pack_histogram, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join]
     return {f.__name__: f for f in found}
 
 
