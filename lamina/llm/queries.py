@@ -13,6 +13,7 @@ from lamina.llm.minhash_join import near_duplicates
 from lamina.llm.mixing import SEED as MIX_SEED
 from lamina.llm.mixing import mix_sources
 from lamina.llm.packing import pack_documents
+from lamina.llm.pii import extract_pii
 from lamina.llm.secrets import scan_secrets
 from lamina.llm.sharding import shard_documents
 
@@ -77,8 +78,18 @@ def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = extract_pii(read_table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
+    return found.select(
+        "doc_id", n(0).alias("n_email"), n(1).alias("n_ip"), n(2).alias("n_card"), n(3).alias("n_phone"),
+        F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_learned"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mix_sources, op5_pack_histogram, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join]
+    found = [op2_mix_sources, op5_pack_histogram, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join, op10_bootstrapped_pii]
     return {f.__name__: f for f in found}
 
 

@@ -72,3 +72,26 @@ def components(docs, width=4, percent=80):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {k: (len(s), find(k)) for k, s in sets.items()}
+
+
+PII_KINDS = ["email", "ip", "card", "phone", "learned"]
+
+
+def luhn(digits):
+    n = [int(d) for d in digits]
+    n[-2::-2] = [sum(divmod(2 * d, 10)) for d in n[-2::-2]]
+    return sum(n) % 10 == 0
+
+
+def pii(text):
+    text = text or ""
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and luhn(d):
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
