@@ -12,6 +12,7 @@ from lamina.llm.decision_list import judge_quality
 from lamina.llm.minhash_join import near_duplicates
 from lamina.llm.mixing import SEED as MIX_SEED
 from lamina.llm.mixing import mix_sources
+from lamina.llm.ngram_lm import hold_out, score_documents, train
 from lamina.llm.packing import pack_documents
 from lamina.llm.pii import extract_pii
 from lamina.llm.secrets import scan_secrets
@@ -46,6 +47,12 @@ FROM copies
 """
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the model of those that are not held out."""
+    docs = hold_out(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score_documents(docs, train(docs.filter("not held_out")), held_out="held_out")
+
+
 def op5_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     return pack_documents(read_table(spark, sf_dir, "documents"))
@@ -89,7 +96,7 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mix_sources, op5_pack_histogram, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join, op10_bootstrapped_pii]
+    found = [op2_mix_sources, op3_kneser_ney, op5_pack_histogram, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join, op10_bootstrapped_pii]
     return {f.__name__: f for f in found}
 
 
