@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import lookup_join, materialize
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, coordinates: in
 
 
 def postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """(token, node) for the prefix of every node whose signature could meet another in ``matches`` coordinates.
+    """(token, node, weight) for the prefix of every node whose signature could meet another in ``matches`` coordinates.
 
     A token is a coordinate with its value. Ordered from rare to frequent, two
     signatures with ``matches`` tokens in common share one among the first
@@ -123,7 +123,8 @@ def postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MA
     held = tokens.join(shared, "token")
     lists = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("all")).filter(F.size("all") >= matches)
     prefix = F.slice("all", F.lit(1), F.size("all") - matches + 1)
-    return lists.select("node", F.explode(prefix).alias("x")).select(F.col("x.token").alias("token"), "node")
+    weight = F.aggregate("all", F.lit(0).cast("long"), lambda acc, x: acc + x["freq"])
+    return lists.select("node", weight.alias("weight"), F.explode(prefix).alias("x")).select(F.col("x.token").alias("token"), "node", "weight")
 
 
 def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -149,6 +150,25 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(renamed.select("node", F.coalesce("name", "comp").alias("comp")), "components")
 
 
+def still_open(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(node, n, foreign) of the nodes that may yet link with another component, exactly.
+
+    A partner's set holds ``percent`` of the node's own runs at least, so as many of
+    them must occur in some other component. Nodes with more runs of their own, or
+    of their component's, can be left out of all lists.
+    """
+    runs = sets.join(labels, "node").select("node", "comp", F.explode("runs").alias("run"))
+    spread = runs.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("run")
+    foreign = runs.select("node", "run").join(spread, "run").groupBy("node").agg(F.count(F.lit(1)).alias("foreign"))
+    return sets.select("node", F.size("runs").cast("long").alias("n")).join(foreign, "node").filter(100 * F.col("foreign") >= percent * F.col("n"))
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two nodes' sizes and foreign runs leave room for a link: what they share is foreign to both."""
+    most = F.least(f"foreign_{x}", f"foreign_{y}")
+    return (100 + percent) * most >= percent * (F.col(f"n_{x}") + F.col(f"n_{y}"))
+
+
 def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) that agree in ``matches`` coordinates and whose whole sets overlap by ``percent`` of their union."""
     sign = nodes.select("node", "n", "signature")
@@ -162,6 +182,57 @@ def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, p
     return close.join(ra, "a").join(rb, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def links_to_large(against: DataFrame, large: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) of nodes with large components, one for each node and block of a component at most.
+
+    ``against`` has (x, comp): node x is to be compared with all members of the
+    component. Members are dealt to blocks of about ``block`` sets, nodes to
+    blocks of their own, and each pair of blocks is one comparison by a table of the
+    nodes' runs, so no pair of sets becomes a row and no group meets in one task.
+    """
+    wide = F.ceil(F.col("size") / block).cast("int")
+    members = sets.join(labels, "node").join(large, "comp").withColumn("part", F.pmod(F.xxhash64("node"), wide).cast("int"))
+    nodes = against.join(large, "comp").join(sets.select(F.col("node").alias("x"), F.col("runs")), "x")
+    each = nodes.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("lanes"))
+    nodes = nodes.join(each, "comp").withColumn("lane", F.pmod(F.xxhash64("x"), F.col("lanes")).cast("int"))
+    nodes = nodes.select("comp", "lane", F.explode(F.sequence(F.lit(0), wide - 1)).alias("part"), F.col("x").alias("node"), "runs")
+    members = members.join(each, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "part", "node", "runs")
+
+    nodes, members = materialize(nodes, "against"), materialize(members, "members")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _links(left, right, percent)
+
+    keys = ["comp", "lane", "part"]
+    return nodes.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
+def _links(nodes: pa.Table, members: pa.Table, percent: int) -> pa.Table:
+    found: list[tuple[int, int]] = []
+    if len(nodes) and len(members):
+        runs = [np.asarray(x.values) for x in nodes.column("runs")]
+        size = np.array([len(x) for x in runs])
+        flat = np.concatenate(runs)
+        order = np.argsort(flat, kind="stable")
+        table, owner = flat[order], np.repeat(np.arange(len(runs)), size)[order]
+        first = np.flatnonzero(np.concatenate(([True], table[1:] != table[:-1])))
+        values, last = table[first], np.append(first[1:], len(table))
+        names, open_nodes = nodes.column("node").to_pylist(), np.ones(len(runs), bool)
+        for member, own in zip(members.column("node").to_pylist(), members.column("runs"), strict=True):
+            own = np.asarray(own.values)
+            at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+            at = at[values[at] == own]
+            many = last[at] - first[at]
+            hit = np.repeat(first[at] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(at) else np.zeros(0, np.int64)
+            both = np.bincount(owner[hit], minlength=len(runs))
+            linked = open_nodes & ((100 + percent) * both >= percent * (size + len(own)))
+            for k in np.flatnonzero(linked):
+                found.append((names[k], member))
+            open_nodes &= ~linked
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -172,6 +243,7 @@ def near_duplicates(
     matches: int = MATCHES,
     rounds: int = 12,
     slack: int = 4,
+    short: int = 16,
 ) -> DataFrame:
     """Components of documents whose shingle sets overlap by ``percent`` of their union.
 
@@ -184,11 +256,12 @@ def near_duplicates(
 
     Nodes are posted under the rare part of their signatures' tokens. Instead of
     pairing all nodes of a list, each round pairs a list's nodes with one of them,
-    the hub of that round, and drops lists that have become one component. Once the pairs
-    between what a list's largest component leaves out and the list are at most
-    ``slack`` for each posting, or after ``rounds``, exactly those pairs that cross
-    components are made, so no link is lost, and a large group costs as many pairs as it
-    has members for each hub.
+    the hub of that round (lists up to ``short`` are paired whole), and drops nodes that can link with no other component and
+    lists that have become one component. Once the pairs between what a list's
+    largest component leaves out and the list are at most ``slack`` for each
+    posting, or a round has not halved them, or after ``rounds``, exactly those pairs
+    that cross components are made, so no link is lost, and a large group costs as
+    many pairs as it has members for each hub; components over ``short`` are then compared in blocks.
     """
     rows = materialize(signatures(docs, key, text, width, coordinates), "signatures")
     full = rows.filter("n > 0")
@@ -204,32 +277,47 @@ def near_duplicates(
     sets = materialize(found.join(members, "node", "left_semi").dropDuplicates(["node"]), "sets")
     labels = members.select("node", F.col("node").alias("comp"))
     labels = materialize(labels, "components")
-    tried = None
+    tried, before = None, None
     for turn in range(rounds):
-        placed = posted.join(labels, "node")
-        lists = placed.groupBy("token").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "comp")).alias("hub")
-        )
-        open_lists = materialize(lists.filter("low != high").select("token", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "lists")
-        if not open_lists.limit(1).count():
+        # what is out stays out: components only grow
+        alive = materialize(still_open(sets, labels, percent), "alive")
+        sets, posted = sets.join(alive, "node", "left_semi"), posted.join(alive, "node", "left_semi")
+        placed = posted.join(labels, "node").join(alive, "node")
+        # at first the node whose tokens most others have, then any
+        rank = -F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+        hub = F.min(F.struct(rank.alias("rank"), "node", "comp", "n", "foreign")).alias("hub")
+        lists = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub).filter("low != high").select("token", "hub")
+        inside = materialize(placed.drop("weight").join(lists, "token"), "inside")
+        by = inside.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        main = materialize(by.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")), "main")
+        work, size = main.agg(F.sum((F.col("all") - F.col("m.k")) * F.col("all")), F.sum("all")).first()
+        if not size:
             break
-        inside = materialize(placed.join(open_lists, "token"), "inside")
-        sizes = inside.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.max("k").alias("most"))
-        work = sizes.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0]
-        last = turn == rounds - 1 or work <= slack * inside.count()
+        last = turn == rounds - 1 or work <= slack * size or (before is not None and 2 * work > before)
+        before = work
+        side = lambda c: [F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}"), F.col("foreign").alias(f"foreign_{c}")]
+        meet = (F.col("token") == F.col("__token")) & (F.col("comp_x") != F.col("comp_y")) & may_link("x", "y", percent)
+        some = main.select("token", F.col("m.comp").alias("main"), "all") if last else main.filter(F.col("all") <= short).select("token", F.lit(None).cast("long").alias("main"), "all")
+        out = inside.join(some, "token").filter("main is null or comp != main").select(F.col("token").alias("__token"), *side("x"))
+        others = inside.select("token", *side("y"))
         if last:
-            by = inside.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-            main = by.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
-            out = inside.join(main, "token").filter("comp != main").select("token", F.col("node").alias("x"), F.col("comp").alias("cx"))
-            pairs = out.join(inside.select("token", F.col("node").alias("y"), F.col("comp").alias("cy")), "token").filter("cx != cy")
-        else:
-            pairs = inside.filter("comp != hub_comp").select(F.col("node").alias("x"), F.col("hub").alias("y"))
+            sizes = materialize(labels.join(alive, "node").groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
+            large = sizes.filter(F.col("size") > short)
+            others = others.join(large.select(F.col("comp").alias("comp_y")), "comp_y", "left_anti")
+        pairs = others.join(out, meet).select("x", "y")
+        if not last:
+            hubs = inside.filter("comp != hub.comp").select(*side("x"), *[F.col(f"hub.{c}").alias(n) for c, n in (("node", "y"), ("n", "n_y"), ("foreign", "foreign_y"))])
+            pairs = pairs.union(hubs.filter(may_link("x", "y", percent)).select("x", "y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        labels = merge_components(labels, confirm(pairs, active, sets, matches, percent))
+        links = confirm(pairs, active, sets, matches, percent)
+        if last:
+            against = out.join(by.select(F.col("token").alias("__token"), "comp"), "__token").filter("comp != comp_x").select("x", "comp").distinct()
+            links = links.union(links_to_large(against, large, sets, labels, percent))
+        labels = merge_components(labels, links)
         if last:
             break
     least = labels.join(active.select("node", "least"), "node")

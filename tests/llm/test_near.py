@@ -37,10 +37,10 @@ def group():
     return docs
 
 
-@pytest.mark.parametrize(("rounds", "slack"), [(12, 4), (1, 4), (12, 0)])
-def test_group(spark, group, rounds, slack):
+@pytest.mark.parametrize(("rounds", "slack", "short"), [(12, 4, 16), (1, 4, 16), (3, 0, 2)])
+def test_group(spark, group, rounds, slack, short):
     frame = spark.createDataFrame([(k, t) for k, t in group.items()], "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame, rounds=rounds, slack=slack).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame, rounds=rounds, slack=slack, short=short).collect()}
     assert got == brute.components(group)
 
 
