@@ -17,6 +17,7 @@ from lamina.llm.packing import pack_documents
 from lamina.llm.pii import extract_pii
 from lamina.llm.secrets import scan_secrets
 from lamina.llm.sharding import shard_documents
+from lamina.llm.topk import top_k
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,21 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, train(docs.filter("not held_out")), held_out="held_out")
 
 
+def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by inner product for every hundredth vector, among all."""
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op5_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     return pack_documents(read_table(spark, sf_dir, "documents"))
@@ -96,9 +112,9 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mix_sources, op3_kneser_ney, op5_pack_histogram, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join, op10_bootstrapped_pii]
+    found = [op2_mix_sources, op3_kneser_ney, op4_pivot_top_k, op5_pack_histogram, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join, op10_bootstrapped_pii]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op4_pivot_top_k": OP4_SQL}
