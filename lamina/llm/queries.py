@@ -18,6 +18,15 @@ from lamina.llm.pii import extract_pii
 from lamina.llm.secrets import scan_secrets
 from lamina.llm.sharding import shard_documents
 from lamina.llm.topk import top_k
+from lamina.llm.url_filter import judge_urls
+
+#: The rules of op1.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_segmented_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' urls under the fixed rules and what naive Bayes learns from them."""
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES).withColumn("log_odds", F.round("log_odds", 6))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +121,7 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_mix_sources, op3_kneser_ney, op4_pivot_top_k, op5_pack_histogram, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join, op10_bootstrapped_pii]
+    found = [op1_segmented_hosts, op2_mix_sources, op3_kneser_ney, op4_pivot_top_k, op5_pack_histogram, op6_secret_owners, op7_rendezvous_shards, op8_quality_rules, op9_minhash_join, op10_bootstrapped_pii]
     return {f.__name__: f for f in found}
 
 
