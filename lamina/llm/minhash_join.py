@@ -295,8 +295,12 @@ def near_duplicates(
             break
         last = turn == rounds - 1 or work <= slack * size or (before is not None and 2 * work > before)
         before = work
-        side = lambda c: [F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}"), F.col("foreign").alias(f"foreign_{c}")]
-        meet = (F.col("token") == F.col("__token")) & (F.col("comp_x") != F.col("comp_y")) & may_link("x", "y", percent)
+        # a pair meets at every token of both prefixes, and is made at the least of them
+        held = inside.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+        inside = materialize(inside.join(held, "node"), "prefixes")
+        once = F.array_min(F.array_intersect("tokens_x", "tokens_y")) == F.col("token")
+        side = lambda c: [F.col("tokens").alias(f"tokens_{c}"), F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}"), F.col("foreign").alias(f"foreign_{c}")]
+        meet = (F.col("token") == F.col("__token")) & (F.col("comp_x") != F.col("comp_y")) & may_link("x", "y", percent) & once
         some = main.select("token", F.col("m.comp").alias("main"), "all") if last else main.filter(F.col("all") <= short).select("token", F.lit(None).cast("long").alias("main"), "all")
         out = inside.join(some, "token").filter("main is null or comp != main").select(F.col("token").alias("__token"), *side("x"))
         others = inside.select("token", *side("y"))
@@ -315,7 +319,8 @@ def near_duplicates(
         tried = pairs if tried is None else tried.union(pairs)
         links = confirm(pairs, active, sets, matches, percent)
         if last:
-            against = out.join(by.select(F.col("token").alias("__token"), "comp"), "__token").filter("comp != comp_x").select("x", "comp").distinct()
+            held_large = by.join(large, "comp").select(F.col("token").alias("__token"), "comp")
+            against = out.select("__token", "x", "comp_x").join(held_large, "__token").filter("comp != comp_x").select("x", "comp").distinct()
             links = links.union(links_to_large(against, large, sets, labels, percent))
         labels = merge_components(labels, links)
         if last:
