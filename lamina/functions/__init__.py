@@ -1 +1 @@
-
+"""Sizes, types, column specifications and coercion."""

@@ -1 +1 @@
-
+"""Row selection, predicates and indexes."""

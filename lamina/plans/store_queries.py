@@ -1,4 +1,260 @@
-"""Queries over the column store, one for each operator, with their SQL."""
+"""Queries over the column store, one for each operator, with their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Reads run on the Parquet tables of a folder as they are. Changes run on a store
+in the session's shared folder that is made from one of them.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.functions.spec import ColumnSpec
+from lamina.operators.predicates import RowSet
+from lamina.operators.rows import ROWID
+from lamina.sources.store import ParquetTable, Store
+from lamina.sources.table import Table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str, query: Query) -> None:
+    QUERIES[name], ORACLE_SQL[name] = query, sql
+
+
+def _on(table: str, make: Callable[[ParquetTable], DataFrame]) -> Query:
+    return lambda spark, sf: make(Store.attach(spark, sf)[table])
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A fresh path for a store: in the folder that all executors share, where the session names one."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lamina-')}/store-{uuid.uuid4().hex}"
+
+
+def _stored(table: str, change: Callable[[Table], DataFrame], columns: list[str] | None = None) -> Query:
+    """A query over a store made from a table in the order of its positions."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        source = Store.attach(spark, sf)[table]
+        data = source.frame().orderBy(ROWID).select(*(columns or source.column_names))
+        return change(Store.create_from_dataframe(spark, _scratch(spark), data))
+
+    return run
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    """With the position as a column of the result."""
+    return df.withColumnRenamed(ROWID, "rid")
+
+
+_ORDERS = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rid, count(*) OVER () AS n FROM orders)"
+_SUPPLIER = "(SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS rid, count(*) OVER () AS n FROM supplier)"
+_TWO = ["o_orderkey", "o_totalprice"]
+_PICK = "SELECT o_orderkey, o_totalprice FROM orders WHERE "
+
+# ---- scans and projections
+_add("scan_all", "SELECT * FROM supplier", _on("supplier", lambda t: t[:]))
+_add("project", "SELECT o_orderkey, o_totalprice FROM orders", _on("orders", lambda t: t[_TWO][:]))
+_add("column_scan", "SELECT p_retailprice FROM part", _on("part", lambda t: t["p_retailprice"][:]))
+_add("table_nrows", "SELECT count(*) AS nrows FROM lineitem", lambda spark, sf: spark.createDataFrame([(Store.attach(spark, sf)["lineitem"].nrows,)], "nrows long"))
+
+# ---- rows by position
+for _name, _get, _where in (
+    ("row_slice", slice(10, 20), "rid >= 10 AND rid < 20"),
+    ("row_slice_negative", slice(-5, -2), "rid >= n - 5 AND rid < n - 2"),
+    ("row_slice_step", slice(2, 180, 7), "rid >= 2 AND rid < 180 AND (rid - 2) % 7 = 0"),
+    ("row_slice_past_end", slice(10**9, None), "false"),
+    ("row_list", [8, 9, 15], "rid IN (8, 9, 15)"),
+    ("row_list_negative", [-3, -1], "rid IN (n - 3, n - 1)"),
+    ("row_scalar", 5, "rid = 5"),
+):
+    _add(_name, f"SELECT * EXCLUDE (rid, n) FROM {_ORDERS} WHERE {_where}", _on("orders", lambda t, r=_get: t[r]))
+_add(
+    "row_list_dup_unsorted",
+    f"SELECT o_orderkey, o_totalprice FROM {_ORDERS} JOIN (VALUES (0, 17), (1, 5), (2, 5)) AS w(pos, rid) USING (rid)",
+    _on("orders", lambda t: t[_TWO][[17, 5, 5]]),
+)
+_add("project_rows", f"SELECT o_orderkey, o_totalprice FROM {_ORDERS} WHERE rid IN (1, 4, 90)", _on("orders", lambda t: t.read(_TWO, [1, 4, 90])))
+
+# ---- predicates
+for _name, _sql, _pred in (
+    ("pred_gt", "o_totalprice > 250000.0", lambda t: t["o_totalprice"] > 250000.0),
+    ("pred_ge", "o_orderkey >= 700", lambda t: t["o_orderkey"] >= 700),
+    ("pred_lt", "o_totalprice < 50000.0", lambda t: t["o_totalprice"] < 50000.0),
+    ("pred_le", "o_orderkey <= 700", lambda t: t["o_orderkey"] <= 700),
+    ("pred_eq", "o_orderkey = 77", lambda t: t["o_orderkey"] == 77),
+    ("pred_ne", "o_orderstatus <> 'F'", lambda t: t["o_orderstatus"] != "F"),
+    ("pred_str_range", "o_orderpriority >= '2-HIGH' AND o_orderpriority < '4'", lambda t: t["o_orderpriority"].between("2-HIGH", "4", "[)")),
+    ("match_int", "o_orderkey IN (5, 17, 900)", lambda t: t["o_orderkey"].match([5, 17, 900])),
+    ("match_dup_values", "o_orderkey IN (5, 17)", lambda t: t["o_orderkey"].match([17, 5, 17, 5])),
+    ("match_str", "o_orderstatus IN ('O', 'P')", lambda t: t["o_orderstatus"].match(["O", "P"])),
+    ("and_preds", "o_orderkey BETWEEN 100 AND 500 AND o_totalprice > 200000.0", lambda t: t["o_orderkey"].between(100, 500) & (t["o_totalprice"] > 200000.0)),
+    ("or_preds", "o_orderkey < 50 OR o_orderstatus = 'P'", lambda t: (t["o_orderkey"] < 50) | (t["o_orderstatus"] == "P")),
+    (
+        "and_or_nested",
+        "(o_orderkey < 600 AND o_totalprice >= 100000.0) OR (o_orderstatus = 'P' AND o_orderkey > 900)",
+        lambda t: ((t["o_orderkey"] < 600) & (t["o_totalprice"] >= 100000.0)) | ((t["o_orderstatus"] == "P") & (t["o_orderkey"] > 900)),
+    ),
+    ("not_pred", "NOT (o_totalprice > 50000.0)", lambda t: ~(t["o_totalprice"] > 50000.0)),
+    (
+        "rowset_materialized_and",
+        "o_orderkey < 600 AND o_totalprice > 100000.0",
+        lambda t: (t["o_orderkey"] < 600).materialized() & (t["o_totalprice"] > 100000.0).materialized(),
+    ),
+    ("rowset_materialized_or", "o_orderkey < 60 OR o_totalprice > 400000.0", lambda t: (t["o_orderkey"] < 60).materialized() | (t["o_totalprice"] > 400000.0)),
+    ("rowset_from_rows", "o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3)", lambda t: RowSet.from_rows(t, [2, 0, 1, 0])),
+):
+    _add(_name, _PICK + _sql, _on("orders", lambda t, p=_pred: t[_TWO][p(t)]))
+for _name, _interval, _sql in (
+    ("between_cc", "[]", "l_quantity >= 10 AND l_quantity <= 12"),
+    ("between_co", "[)", "l_quantity >= 10 AND l_quantity < 12"),
+    ("between_oc", "(]", "l_quantity > 10 AND l_quantity <= 12"),
+    ("between_oo", "()", "l_quantity > 10 AND l_quantity < 12"),
+):
+    _add(
+        _name,
+        f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE {_sql}",
+        _on("lineitem", lambda t, i=_interval: t[["l_orderkey", "l_linenumber", "l_quantity"]][t["l_quantity"].between(10.0, 12.0, i)]),
+    )
+_add("between_inverted", _PICK + "false", _on("orders", lambda t: t[_TWO][t["o_orderkey"].between(500, 100)]))
+_add("pred_str_eq", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'", _on("customer", lambda t: t[["c_custkey", "c_mktsegment"]][t["c_mktsegment"] == "BUILDING"]))
+_add(
+    "pred_timestamp_range",
+    "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09'",
+    _on("events", lambda t: t[["event_id", "ts"]][t["ts"].between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-09").cast("timestamp_ntz"), "[)")]),
+)
+_add(
+    "pred_le_max_large",
+    "SELECT count(*) AS n FROM lineitem WHERE l_orderkey <= (SELECT max(l_orderkey) FROM lineitem)",
+    _on("lineitem", lambda t: t.where(t["l_orderkey"] <= t["l_orderkey"][:].agg(F.max("l_orderkey")).first()[0]).agg(F.count(F.lit(1)).alias("n"))),
+)
+
+# ---- sets of rows
+_add("rowset_ids", f"SELECT rid FROM {_ORDERS} WHERE o_totalprice > 450000.0", _on("orders", lambda t: _rows((t["o_totalprice"] > 450000.0).sorted())))
+_add(
+    "rowset_minmax",
+    f"SELECT min(rid) AS low, max(rid) AS high FROM {_ORDERS} WHERE o_totalprice > 450000.0",
+    _on("orders", lambda t: t.spark.createDataFrame([(t["o_totalprice"] > 450000.0).minmax()], "low long, high long")),
+)
+_add("rowset_by_value", f"SELECT rid FROM {_ORDERS} WHERE o_totalprice < 20000.0", _on("orders", lambda t: _rows((t["o_totalprice"] < 20000.0).by_value())))
+
+# ---- indexes
+
+
+def _indexed(t: Table) -> DataFrame:
+    t.create_index("s_acctbal")
+    return _rows(t.index_frame("s_acctbal"))
+
+
+def _index_after_update(t: Table) -> DataFrame:
+    t.create_index("s_nationkey")
+    with t.updating():
+        t["s_nationkey"][2:6] = 3
+    return _rows((t["s_nationkey"] == 3).by_value())
+
+
+_add("index_projection", f"SELECT s_acctbal, rid FROM {_SUPPLIER}", _stored("supplier", _indexed))
+_add("index_after_update", f"SELECT rid FROM {_SUPPLIER} WHERE (rid >= 2 AND rid < 6) OR s_nationkey = 3", _stored("supplier", _index_after_update))
+
+# ---- changes; results have the positions
+
+
+def _changed(change: Callable[[Table], object]) -> Callable[[Table], DataFrame]:
+    def run(t: Table) -> DataFrame:
+        change(t)
+        return _rows(t.frame())
+
+    return run
+
+
+_S = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+
+
+def _sql_set(column: str, expr: str) -> str:
+    return f"SELECT {', '.join(c if c != column else f'{expr} AS {c}' for c in _S)}, rid FROM {_SUPPLIER}"
+
+
+def _put(column: str, rows: object, values: object) -> Callable[[Table], None]:
+    return lambda t: t[column].__setitem__(rows(t) if callable(rows) else rows, values)
+
+
+for _name, _column, _rows_of, _values, _expr in (
+    ("update_slice_fill", "s_acctbal", slice(2, 7), 1.5, "CASE WHEN rid >= 2 AND rid < 7 THEN 1.5 ELSE s_acctbal END"),
+    ("update_slice_array", "s_nationkey", slice(0, 4), [9, 8, 7, 6], "CASE WHEN rid < 4 THEN CAST(9 - rid AS INTEGER) ELSE s_nationkey END"),
+    ("update_slice_step", "s_nationkey", slice(1, 9, 3), [1, 2, 3], "CASE WHEN rid IN (1, 4, 7) THEN CAST((rid - 1) // 3 + 1 AS INTEGER) ELSE s_nationkey END"),
+    ("update_rows_fill", "s_name", [8, 1, -1], "x", "CASE WHEN rid IN (1, 8, n - 1) THEN 'x' ELSE s_name END"),
+    ("update_rows_array", "s_nationkey", [6, 3], [60, 30], "CASE WHEN rid = 6 THEN 60 WHEN rid = 3 THEN 30 ELSE s_nationkey END"),
+    ("update_row", "s_nationkey", 4, 44, "CASE WHEN rid = 4 THEN 44 ELSE s_nationkey END"),
+    ("update_pred", "s_nationkey", lambda t: t["s_acctbal"] < 0.0, -1, "CASE WHEN s_acctbal < 0 THEN -1 ELSE s_nationkey END"),
+    ("update_column", "s_nationkey", None, 12, "12"),
+):
+    _add(_name, _sql_set(_column, _expr), _stored("supplier", _changed(_put(_column, _rows_of, _values))))
+_add("append_rows", f"SELECT * EXCLUDE n FROM {_SUPPLIER} UNION ALL SELECT * EXCLUDE (rid, n), rid + n AS rid FROM {_SUPPLIER}", _stored("supplier", _changed(lambda t: t.append(t.ordered()))))
+_add("add_column_fill", f"SELECT * EXCLUDE n, CAST(9.5 AS DOUBLE) AS x9 FROM {_SUPPLIER}", _stored("supplier", _changed(lambda t: t.create_column(ColumnSpec("x9", "f8", fill_value=9.5)))))
+_add("add_column_default", f"SELECT * EXCLUDE n, 0 AS zero, '' AS empty FROM {_SUPPLIER}", _stored("supplier", _changed(lambda t: (t.create_column(ColumnSpec("zero", "i4")), t.create_column(ColumnSpec("empty", "U2"))))))
+_add("drop_column", f"SELECT * EXCLUDE (n, s_name) FROM {_SUPPLIER}", _stored("supplier", _changed(lambda t: t.delete_entry("s_name", yes=True))))
+_add("resize_truncate", f"SELECT * EXCLUDE n FROM {_SUPPLIER} WHERE rid < 6", _stored("supplier", _changed(lambda t: t.resize(6))))
+_add(
+    "resize_extend",
+    f"SELECT * EXCLUDE n FROM {_SUPPLIER} UNION ALL SELECT 0, '', 0, 0.0, (SELECT count(*) FROM supplier) + i FROM range(3) AS r(i)",
+    _stored("supplier", _changed(lambda t: t.resize(t.nrows + 3))),
+)
+
+
+def _coerced(dtype: str, source: str) -> Callable[[Table], DataFrame]:
+    def run(t: Table) -> DataFrame:
+        t.create_column(ColumnSpec("made", dtype))
+        t["made"][:] = t[source][:]
+        return t.read(["o_orderkey", "made"])
+
+    return run
+
+
+_add("coerce_num_to_str", "SELECT o_orderkey, substr(CAST(o_custkey AS VARCHAR), 1, 3) AS made FROM orders", _stored("orders", _coerced("U3", "o_custkey"), ["o_orderkey", "o_custkey"]))
+_add("coerce_float_to_int", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS made FROM orders", _stored("orders", _coerced("i8", "o_totalprice"), ["o_orderkey", "o_totalprice"]))
+
+
+def _vacuumed(t: Table) -> DataFrame:
+    with t.updating(vacuum=True):
+        t["s_nationkey"][1:3] = 5
+        t["s_acctbal"][[0, 4]] = [1.0, 2.0]
+    return _rows(t.frame())
+
+
+_add(
+    "vacuum_roundtrip",
+    f"SELECT s_suppkey, s_name, CASE WHEN rid IN (1, 2) THEN 5 ELSE s_nationkey END AS s_nationkey, CASE rid WHEN 0 THEN 1.0 WHEN 4 THEN 2.0 ELSE s_acctbal END AS s_acctbal, rid FROM {_SUPPLIER}",
+    _stored("supplier", _vacuumed),
+)
+
+
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    store = Store.create(spark, _scratch(spark))
+    store.from_dataframe(Store.attach(spark, sf)["nation"][:], "geo/nations/")
+    return store["geo/nations/"][["n_nationkey", "n_name"]][store["geo/nations/n_regionkey"] == 2]
+
+
+_add("subtable_path", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2", _nested)
+
+
+def _ingested(spark: SparkSession, sf: str) -> DataFrame:
+    from lamina.sources.ingest import from_file
+
+    return from_file(spark, _scratch(spark), f"{sf}/region.parquet", lower=True)[:]
+
+
+_add("ingest_file", "SELECT r_regionkey, r_name FROM region", _ingested)
+
+
+def _sql_view(spark: SparkSession, sf: str) -> DataFrame:
+    Store.attach(spark, sf)["part"].register("lamina_part")
+    return spark.sql("SELECT p_partkey, p_size FROM lamina_part WHERE p_size > 40")
+
+
+_add("sql_view", "SELECT p_partkey, p_size FROM part WHERE p_size > 40", _sql_view)

@@ -1 +1 @@
-
+"""Tables on storage: files, versions, the namespace, ingestion."""

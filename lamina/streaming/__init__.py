@@ -1 +1,28 @@
+"""Streams into tables (an addition: stored tables have no streams of their own)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from lamina.sources.table import Table
+
+
+def append_stream(stream: DataFrame, table: Table, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Append every micro-batch of a stream to a table.
+
+    The last batch's number is kept in the table's metadata, so a batch that runs
+    again after a failure is not appended twice.
+    """
+    name = "stream"
+    if name not in table.meta:
+        table.create_meta(name, {"batch": -1})
+
+    def add(batch: DataFrame, number: int) -> None:
+        table.reload()
+        if number > table.meta[name].read()["batch"]:
+            table.append(batch)
+            table.meta[name].update({"batch": number})
+
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
