@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -22,8 +23,11 @@ _LETTERS = r"A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"[{_LETTERS}\t-\r -~]*")
 # The order of the alternatives is the public tokenizer's
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+#: Byte-level vocabularies write bytes as characters: printable ones of Latin-1 as themselves, the others in order from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class Encoder(dict):
@@ -42,6 +46,7 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         splitter = str(self.tokenizer.pre_tokenizer)
+        self.model = self.tokenizer.model
         self.by_word = self.tokenizer.normalizer is None and splitter.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in splitter
 
     def whole(self, text: str) -> bytes:
@@ -50,7 +55,9 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self.whole(word)
+        # a word goes to the merges alone, its bytes as the characters that stand for them
+        found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= 64:
             self[word] = ids
         return ids
