@@ -50,6 +50,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one operator needs while it works; ``remove`` frees them once its result is written elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._path = spark, shared_path(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """As materialize, below the scratch folder."""
+        path = f"{self._path}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        hadoop = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path)
+        hadoop.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def lookup_join(left: DataFrame, table: DataFrame, keys: list[str], how: str = "left", limit: int = 200_000, salts: int = 32) -> DataFrame:
     """Join ``left`` with a materialised ``table`` that has unique ``keys``, safe against hot keys on the left.
 

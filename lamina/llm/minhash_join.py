@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import lookup_join, materialize
+from lamina.llm.common import Scratch, lookup_join, materialize
 from lamina.llm.tokens import chunks, mix, shingles, word_hashes
 
 #: Coordinates of a signature, and how many must agree. A pair at similarity 0.8 agrees in 51.2 of 64 on
@@ -18,6 +18,8 @@ from lamina.llm.tokens import chunks, mix, shingles, word_hashes
 COORDINATES = 64
 MATCHES = 36
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
 
 def _texts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """For every text its number in the batch and its sorted distinct shingle hashes."""
@@ -109,7 +111,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int, coordinates: in
     return rows.mapInArrow(partial(_sign, width=width, coordinates=coordinates), "key long, id long, n long, node long, signature array<long>")
 
 
-def postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def postings(nodes: DataFrame, keep: Keep, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(token, node, weight) for the prefix of every node whose signature could meet another in ``matches`` coordinates.
 
     A token is a coordinate with its value. Ordered from rare to frequent, two
@@ -119,7 +121,7 @@ def postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MA
     beyond them, and nodes with fewer shared tokens than ``matches`` post nothing.
     """
     tokens = nodes.select("node", F.posexplode("signature").alias("c", "v")).select("node", F.xxhash64("c", "v").alias("token"))
-    shared = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "tokens")
+    shared = keep(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "tokens")
     held = tokens.join(shared, "token")
     lists = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("all")).filter(F.size("all") >= matches)
     prefix = F.slice("all", F.lit(1), F.size("all") - matches + 1)
@@ -127,7 +129,7 @@ def postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MA
     return lists.select("node", weight.alias("weight"), F.explode(prefix).alias("x")).select(F.col("x.token").alias("token"), "node", "weight")
 
 
-def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merge_components(labels: DataFrame, links: DataFrame, keep: Keep) -> DataFrame:
     """Join the components of ``labels`` (node, comp) that ``links`` (a, b) of nodes connect; a component is named by its least name.
 
     Works on the graph of components. Every turn takes the least name among the
@@ -136,18 +138,18 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     of = labels.select(F.col("node"), F.col("comp"))
     edges = links.join(of.withColumnRenamed("node", "a").withColumnRenamed("comp", "x"), "a").join(of.withColumnRenamed("node", "b").withColumnRenamed("comp", "y"), "b")
     edges = edges.filter("x != y").select("x", "y").distinct()
-    edges = materialize(edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    names = materialize(edges.select(F.col("x").alias("v"), F.col("x").alias("name")).distinct(), "names")
+    edges = keep(edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    names = keep(edges.select(F.col("x").alias("v"), F.col("x").alias("name")).distinct(), "names")
     while True:
         near = edges.join(names, edges.y == names.v).groupBy("x").agg(F.min("name").alias("least"))
         lower = names.join(near, names.v == near.x).select("v", F.least("name", "least").alias("to"), "name")
         jump = names.select(F.col("v").alias("to"), F.col("name").alias("further"))
-        new = materialize(lower.join(jump, "to").select("v", F.least("to", "further").alias("name"), (F.least("to", "further") != F.col("name")).alias("moved")), "names")
+        new = keep(lower.join(jump, "to").select("v", F.least("to", "further").alias("name"), (F.least("to", "further") != F.col("name")).alias("moved")), "names")
         names = new.select("v", "name")
         if not new.filter("moved").limit(1).count():
             break
     renamed = labels.join(names.select(F.col("v").alias("comp"), "name"), "comp", "left")
-    return materialize(renamed.select("node", F.coalesce("name", "comp").alias("comp")), "components")
+    return keep(renamed.select("node", F.coalesce("name", "comp").alias("comp")), "components")
 
 
 def still_open(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -169,20 +171,20 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return (100 + percent) * most >= percent * (F.col(f"n_{x}") + F.col(f"n_{y}"))
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, keep: Keep, matches: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) that agree in ``matches`` coordinates and whose whole sets overlap by ``percent`` of their union."""
     sign = nodes.select("node", "n", "signature")
     left = sign.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
     right = sign.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
     close = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).filter(agree >= matches)
-    close = materialize(close.select("a", "b", "na", "nb"), "close")
+    close = keep(close.select("a", "b", "na", "nb"), "close")
     ra, rb = sets.select(F.col("node").alias("a"), F.col("runs").alias("ra")), sets.select(F.col("node").alias("b"), F.col("runs").alias("rb"))
     both = F.size(F.array_intersect("ra", "rb"))
     return close.join(ra, "a").join(rb, "b").filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def links_to_large(against: DataFrame, large: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def links_to_large(against: DataFrame, large: DataFrame, sets: DataFrame, labels: DataFrame, keep: Keep, percent: int, block: int = 512) -> DataFrame:
     """Links (a, b) of nodes with large components, one for each node and block of a component at most.
 
     ``against`` has (x, comp): node x is to be compared with all members of the
@@ -198,7 +200,7 @@ def links_to_large(against: DataFrame, large: DataFrame, sets: DataFrame, labels
     nodes = nodes.select("comp", "lane", F.explode(F.sequence(F.lit(0), wide - 1)).alias("part"), F.col("x").alias("node"), "runs")
     members = members.join(each, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "part", "node", "runs")
 
-    nodes, members = materialize(nodes, "against"), materialize(members, "members")
+    nodes, members = keep(nodes, "against"), keep(members, "members")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         return _links(left, right, percent)
@@ -263,33 +265,35 @@ def near_duplicates(
     that cross components are made, so no link is lost, and a large group costs as
     many pairs as it has members for each hub; components over ``short`` are then compared in blocks.
     """
-    rows = materialize(signatures(docs, key, text, width, coordinates), "signatures")
+    scratch = Scratch(docs.sparkSession, "near")
+    keep = scratch.keep
+    rows = keep(signatures(docs, key, text, width, coordinates), "signatures")
     full = rows.filter("n > 0")
     nodes = full.groupBy("node").agg(F.min("key").alias("key"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    nodes = materialize(nodes, "nodes")
-    posted = materialize(postings(nodes, coordinates, matches), "postings")
-    members = materialize(posted.select("node").distinct(), "posted")
-    active = materialize(nodes.join(members, "node", "left_semi"), "active")
+    nodes = keep(nodes, "nodes")
+    posted = keep(postings(nodes, keep, coordinates, matches), "postings")
+    members = keep(posted.select("node").distinct(), "posted")
+    active = keep(nodes.join(members, "node", "left_semi"), "active")
     texts = docs.select(F.coalesce(F.col(key), F.xxhash64(F.col(text))).alias("key"), F.col(text).alias("text"))
     wanted = lookup_join(texts, active.select("key").distinct(), ["key"], "left_semi", 1_000_000)
     # a key may have several texts: only sets of active nodes stay
     found = wanted.mapInArrow(partial(_sets, width=width), "node long, runs array<long>")
-    sets = materialize(found.join(members, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = keep(found.join(members, "node", "left_semi").dropDuplicates(["node"]), "sets")
     labels = members.select("node", F.col("node").alias("comp"))
-    labels = materialize(labels, "components")
+    labels = keep(labels, "components")
     tried, before = None, None
     for turn in range(rounds):
         # what is out stays out: components only grow
-        alive = materialize(still_open(sets, labels, percent), "alive")
+        alive = keep(still_open(sets, labels, percent), "alive")
         sets, posted = sets.join(alive, "node", "left_semi"), posted.join(alive, "node", "left_semi")
         placed = posted.join(labels, "node").join(alive, "node")
         # at first the node whose tokens most others have, then any
         rank = -F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node")
         hub = F.min(F.struct(rank.alias("rank"), "node", "comp", "n", "foreign")).alias("hub")
         lists = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub).filter("low != high").select("token", "hub")
-        inside = materialize(placed.drop("weight").join(lists, "token"), "inside")
+        inside = keep(placed.drop("weight").join(lists, "token"), "inside")
         by = inside.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        main = materialize(by.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")), "main")
+        main = keep(by.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")), "main")
         work, size = main.agg(F.sum((F.col("all") - F.col("m.k")) * F.col("all")), F.sum("all")).first()
         if not size:
             break
@@ -297,7 +301,7 @@ def near_duplicates(
         before = work
         # a pair meets at every token of both prefixes, and is made at the least of them
         held = inside.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-        inside = materialize(inside.join(held, "node"), "prefixes")
+        inside = keep(inside.join(held, "node"), "prefixes")
         once = F.array_min(F.array_intersect("tokens_x", "tokens_y")) == F.col("token")
         side = lambda c: [F.col("tokens").alias(f"tokens_{c}"), F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}"), F.col("foreign").alias(f"foreign_{c}")]
         meet = (F.col("token") == F.col("__token")) & (F.col("comp_x") != F.col("comp_y")) & may_link("x", "y", percent) & once
@@ -305,7 +309,7 @@ def near_duplicates(
         out = inside.join(some, "token").filter("main is null or comp != main").select(F.col("token").alias("__token"), *side("x"))
         others = inside.select("token", *side("y"))
         if last:
-            sizes = materialize(labels.join(alive, "node").groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
+            sizes = keep(labels.join(alive, "node").groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "sizes")
             large = sizes.filter(F.col("size") > short)
             others = others.join(large.select(F.col("comp").alias("comp_y")), "comp_y", "left_anti")
         pairs = others.join(out, meet).select("x", "y")
@@ -315,24 +319,26 @@ def near_duplicates(
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = keep(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        links = confirm(pairs, active, sets, matches, percent)
+        links = confirm(pairs, active, sets, keep, matches, percent)
         if last:
             held_large = by.join(large, "comp").select(F.col("token").alias("__token"), "comp")
             against = out.select("__token", "x", "comp_x").join(held_large, "__token").filter("comp != comp_x").select("x", "comp").distinct()
-            links = links.union(links_to_large(against, large, sets, labels, percent))
-        labels = merge_components(labels, links)
+            links = links.union(links_to_large(against, large, sets, labels, keep, percent))
+        labels = merge_components(labels, links, keep)
         if last:
             break
     least = labels.join(active.select("node", "least"), "node")
     names = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = least.join(names, "comp").select("node", "component_id")
     final = nodes.join(named, "node", "left").select("node", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    final = materialize(final, "named")
+    final = keep(final, "named")
     linked = rows.filter("n > 0").select("id", "n", "node").join(final, "node").select("id", "n", "component_id")
     alone = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    out = linked.unionByName(alone)
+    # all that came before is freed
+    out = materialize(linked.unionByName(alone), "near-duplicates")
+    scratch.remove()
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -42,6 +42,11 @@ def find_spans(text: Column, pattern: str, kind: str, value_group: int = 0) -> C
     return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["all"])).otherwise(empty)
 
 
+def may_hold(text: Column) -> Column:
+    """Whether any of the expressions meets the text."""
+    return text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | (text.rlike("[0-9]") & text.rlike(OPAQUE))
+
+
 def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``__base``, the spans of the three base kinds, and ``__more``, opaque runs that touch none of them."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -89,12 +94,15 @@ def scan_secrets(
     example; one of few owners that also looks random is live. ``more`` has live
     spans only. Null texts have no spans; repeated rows are kept, each with its own spans.
 
-    One pass over the texts writes the candidates (with ``carry``) to the shared
-    folder; only rows that have a candidate are exploded, looked up and gathered by
-    row again, a row's candidates being as many as its own text holds.
+    Texts that no expression meets pass by. The others' candidates (with ``carry``)
+    are written to the shared folder; only rows that have a candidate are exploded,
+    looked up and gathered by row again, a row's candidates being as many as its own
+    text holds.
     """
     carry = docs.columns if carry is None else carry
-    seen = find_candidates(docs.select(*[F.col(c) for c in dict.fromkeys([*carry, text, repository, owner])]), text)
+    given = docs.select(*[F.col(c) for c in dict.fromkeys([*carry, text, repository, owner])])
+    maybe = may_hold(F.coalesce(F.col(text), F.lit("")))
+    seen = find_candidates(given.filter(maybe), text)
     seen = seen.withColumns({"__rid": F.monotonically_increasing_id(), "__repository": F.col(repository), "__owner": F.col(owner)})
     strip = lambda c: F.transform(
         c, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("hash"), looks_live(s["value"]).alias("shaped"))
@@ -111,8 +119,9 @@ def scan_secrets(
     base = F.filter("__all", lambda s: s["rank"] < 3).cast(spans)
     more = F.filter("__all", lambda s: (s["rank"] == 3) & s["live"]).cast(spans)
     with_some = some.join(gathered, "__rid").select(*carry, base.alias("base"), more.alias("more"))
-    none = rows.filter(F.size("__found") == 0).select(*carry, F.array().cast(spans).alias("base"), F.array().cast(spans).alias("more"))
-    return none.unionByName(with_some)
+    empty = [F.array().cast(spans).alias(c) for c in ("base", "more")]
+    none = rows.filter(F.size("__found") == 0).select(*carry, *empty)
+    return given.filter(~maybe).select(*carry, *empty).unionByName(none).unionByName(with_some)
 
 
 def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
