@@ -239,7 +239,7 @@ def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    width: int = 4,
+    width: int = 5,
     percent: int = 80,
     coordinates: int = COORDINATES,
     matches: int = MATCHES,

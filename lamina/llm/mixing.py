@@ -46,11 +46,11 @@ def source_rates(docs: DataFrame, source: str, text: str, weights: dict[str, flo
         for name, w in weights.items():
             weight = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     each = materialize(chars.withColumn("weight", weight), "sources")
-    live = each.filter("chars > 0").agg(F.sum("weight").alias("all_weights"), F.sum("chars").alias("all_chars"))
-    total = F.col("all_chars").cast("double") if budget is None else F.lit(float(budget))
-    rate = F.when((F.col("chars") > 0) & (F.col("weight") > 0), total * F.col("weight") / (F.col("all_weights") * F.col("chars"))).otherwise(F.lit(0.0))
+    live = each.filter("chars > 0").agg(F.sum("weight"), F.sum("chars")).first()
+    total = F.lit(float(live[1] or 0) if budget is None else float(budget))
+    rate = F.when((F.col("chars") > 0) & (F.col("weight") > 0), total * F.col("weight") / (F.lit(live[0] or 1.0) * F.col("chars"))).otherwise(F.lit(0.0))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_PART)).cast("int")
-    rated = each.join(F.broadcast(live)).withColumn("rate", rate).withColumn("parts", parts)
+    rated = each.withColumn("rate", rate).withColumn("parts", parts)
     return rated.withColumn("cdf", poisson_table(F.col("rate") / F.col("parts"))).select("__source", "chars", "rate", "parts", "cdf")
 
 
@@ -81,7 +81,7 @@ def mix_sources(
     named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null"))
     table = rates.select(F.coalesce(F.concat(F.lit("s"), F.col("__source").cast("string")), F.lit("null")).alias("__named"), "parts", "cdf")
     table = table.select("__named", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
-    drawn = lookup_join(docs.withColumn("__named", named), table, ["__named"])
+    drawn = lookup_join(docs.withColumn("__named", named), table, ["__named"], limit=5_000)
     one = lambda j: F.size(F.filter(F.col("__cdf"), lambda c: c <= uniform(F.lit(str(seed)), ident, j.cast("string"))))
     many = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, j: acc + one(j))
     first = uniform(F.lit(str(seed)), ident, F.lit("1"))

@@ -107,7 +107,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents, by shingles of four words."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
 
 
 def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

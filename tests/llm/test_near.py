@@ -40,7 +40,7 @@ def group():
 @pytest.mark.parametrize(("rounds", "slack", "short"), [(12, 4, 16), (1, 4, 16), (3, 0, 2)])
 def test_group(spark, group, rounds, slack, short):
     frame = spark.createDataFrame([(k, t) for k, t in group.items()], "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame, rounds=rounds, slack=slack, short=short).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame, width=4, rounds=rounds, slack=slack, short=short).collect()}
     assert got == brute.components(group)
 
 
@@ -49,7 +49,7 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one\x0bTWO"), (6, "É a"), (7, "é a"), (9, body), (9, body), (8, body.upper()), (None, body), (None, "alone"),
             (10, "z " * 30_000), (11, "z z z z z")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit(1), "n": F.lit(2), "key": F.lit("k")})
-    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_duplicates(frame).collect()))
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_duplicates(frame, width=4).collect()))
     assert got == sorted(
         [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 7, True), (9, 57, 8, False), (9, 57, 8, False), (8, 57, 8, True),
          (0, 57, 8, False), (0, 1, 0, True), (10, 1, 10, True), (11, 1, 10, False)]
