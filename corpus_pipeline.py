@@ -8,6 +8,7 @@ written to the shared folder and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lamina.llm.common import materialize, read_table
 from lamina.llm.decision_list import judge_quality
@@ -19,8 +20,9 @@ from lamina.llm.secrets import redact_live
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the rules learned from ``labels`` keep."""
-    judged, _ = judge_quality(docs, read_table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), "doc_id", "text")
+    judged, _ = judge_quality(rows, read_table(spark, sf_dir, "labels"))
+    return judged.filter("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by a Poisson draw so that every source has the same share of characters."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs, with_copies=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,16 +15,18 @@ WINDOW = 8
 #: The statistics that rules may test.
 FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "dup_line_share", "repeat_share", "distinct_share", "words_per_line", "digit_share")
 
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES)
+
 
 def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts of the base rule and FEATURES to every row; the text's words are looked at once.
+    """Add the counts of the base rule and FEATURES to every row, in the place of columns of their names; the text's words are looked at once.
 
     Null texts count as empty. ``n_repeat_words`` takes windows of eight words by a
     64-bit hash: a row whose hashes are all distinct has none, the rest sort their
     hashes with positions, keep those equal to a neighbour and add up the words that
     each further window covers anew.
     """
-    keep = docs.columns
+    keep = [c for c in docs.columns if c not in STATS]
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(NOT_SPACE))
     a = docs.withColumns({"__words": words_of(F.col(text)), "__lines": lines})

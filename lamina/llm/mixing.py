@@ -62,11 +62,12 @@ def mix_sources(
     source: str = "source",
     text: str = "text",
     seed: int = SEED,
+    with_copies: bool = True,
 ) -> DataFrame:
     """Repeat every document a Poisson number of times, so that sources meet their weights, and shuffle all copies.
 
     Adds ``copy`` (from 1), ``n_copies`` and ``shuffle_key`` to the columns of
-    ``docs``; documents drawn 0 times have no row. The draw inverts the Poisson
+    ``docs``, in the place of columns of these names, unless ``with_copies`` is false; documents drawn 0 times have no row. The draw inverts the Poisson
     distribution at a hash of seed and key, so it is the same on every run and
     machine, a document's copies do not depend on other documents but for the
     source's rate, and rows that repeat a key are drawn alike. A rate over MEAN_PART
@@ -86,8 +87,12 @@ def mix_sources(
     many = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, j: acc + one(j))
     first = uniform(F.lit(str(seed)), ident, F.lit("1"))
     count = F.when(F.col("__parts") == 1, F.size(F.filter(F.col("__cdf"), lambda c: c <= F.col("__u")))).otherwise(many)
-    counted = drawn.withColumn("__u", first).withColumn("n_copies", count).filter("n_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    order = F.md5(F.encode(F.concat_ws(":", F.lit(f"{seed} order"), ident, F.col("copy").cast("string")), "UTF-8"))
-    keyed = copies.withColumn("shuffle_key", order).select(*docs.columns, "copy", "n_copies", "shuffle_key")
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    counted = drawn.withColumn("__u", first).withColumn("__n", count).filter("__n > 0")
+    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    order = F.md5(F.encode(F.concat_ws(":", F.lit(f"{seed} order"), ident, F.col("__copy").cast("string")), "UTF-8"))
+    keyed = copies.withColumn("__order", order).select(*docs.columns, "__copy", "__n", "__order")
+    shuffled = keyed.repartition("__order").sortWithinPartitions("__order")
+    if not with_copies:
+        return shuffled.select(*docs.columns)
+    added = {"copy": "__copy", "n_copies": "__n", "shuffle_key": "__order"}
+    return shuffled.select(*[c for c in docs.columns if c not in added], *[F.col(v).alias(k) for k, v in added.items()])

@@ -88,7 +88,7 @@ def scan_secrets(
 ) -> DataFrame:
     """Every row's base spans, the opaque spans judged live, and what the corpus says of each.
 
-    Returns the columns ``carry`` (None: all of ``docs``), ``base`` and ``more``:
+    Returns the columns ``carry`` (None: all of ``docs``; not those named like the next), ``base`` and ``more``:
     arrays of (start, rank, kind, end, live, owners, repositories), by start, then
     kind. A candidate that more than ``max_owners`` distinct owners hold is a copied
     example; one of few owners that also looks random is live. ``more`` has live
@@ -99,7 +99,7 @@ def scan_secrets(
     looked up and gathered by row again, a row's candidates being as many as its own
     text holds.
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("base", "more")]
     given = docs.select(*[F.col(c) for c in dict.fromkeys([*carry, text, repository, owner])])
     maybe = may_hold(F.coalesce(F.col(text), F.lit("")))
     seen = find_candidates(given.filter(maybe), text)
@@ -138,11 +138,13 @@ def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
 
 def redact_live(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
     """``docs`` with every live-looking secret of its texts replaced; copied examples and all rows stay. ``n_chars`` follows the text, if it is there."""
-    scanned = scan_secrets(docs, text, repository, owner, None, max_owners)
-    live = F.filter(F.concat("base", "more"), lambda s: s["live"])
-    marked = scanned.withColumn("__live", F.sort_array(live))
-    changed = F.size("__live") > 0
-    marked = marked.withColumn(text, F.when(changed, redact(F.col(text), F.col("__live"))).otherwise(F.col(text)))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    asked = docs.select(row, *[F.col(c).alias(f"__{k}") for k, c in enumerate((text, repository, owner))])
+    scanned = scan_secrets(asked, "__0", "__1", "__2", ["__row"], max_owners)
+    marked = scanned.withColumn("__live", F.sort_array(F.filter(F.concat("base", "more"), lambda s: s["live"])))
+    changed, old = F.size("__live") > 0, F.col("__row")[text]
+    marked = marked.withColumn("__text", F.when(changed, redact(old, F.col("__live"))).otherwise(old))
+    new = {text: F.col("__text")}
     if "n_chars" in docs.columns:
-        marked = marked.withColumn("n_chars", F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return marked.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.length("__text").cast("long")).otherwise(F.col("__row")["n_chars"])
+    return marked.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])

@@ -4,6 +4,8 @@ from collections import Counter
 
 import corpus_pipeline as P
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
 from lamina.llm.common import materialize
 from lamina.llm.decision_list import judge_quality
 from tests.llm import brute
@@ -53,3 +55,20 @@ def test_empty(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
     assert P.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_clashing_and_odd(spark):
+    """Columns named like the operators' own stay as they are; nulls, empty texts and repeated rows go through."""
+    names = ["n_words", "kept", "rule", "base", "more", "copy", "shuffle_key", "hash", "freq", "key", "node", "rid"]
+    prose = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, prose, "s"), (1, prose, "s"), (None, prose + " end", None), (2, None, "s"), (3, "", None), (4, "password = Kq7vLm2xRt9z " + prose[::-1], "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.lit(f"own {n}") for n in names}).withColumn("n_chars", F.lit(None).cast("long"))
+    columns = docs.columns
+    for name, stage in P.STAGES:
+        docs = materialize(stage(spark, docs, SF), "odd")
+        if name != P.STAGES[-1][0]:
+            assert docs.columns == columns
+            assert all(r[n] == f"own {n}" for r in docs.collect() for n in names)
+        if name == "secret scan":
+            assert sorted((r.doc_id or 0, "<secret>" in r.text) for r in docs.collect()) == [(0, False), (1, False), (4, True)]
+    assert docs.count() > 0
