@@ -263,7 +263,7 @@ class Table(Mapping):
         spec = self.spec
         schema = T.StructType([T.StructField(ROWID, T.LongType()), *(T.StructField(c["physical"], spec[c["name"]].spark_type) for c in columns)])
         if files:
-            raw = self.spark.read.schema(schema).parquet(*[self.files.at(f["path"]) for f in files])
+            raw = self.spark.read.schema(schema).parquet(*[self.files.at(p) for p in _paths(files)])
         else:
             raw = self.spark.createDataFrame([], schema)
         oldest = min((f["version"] for f in files), default=0)
@@ -335,7 +335,7 @@ class Table(Mapping):
             raise _as_value_error(e) from e
         written = self.spark.read.schema(f"{ROWID} long").parquet(self.files.at(name)).select(ROWID, F.col("_metadata.file_name").alias("file"))
         ranges = written.groupBy("file").agg(F.min(ROWID).alias("low"), F.max(ROWID).alias("high"), F.count(F.lit(1)).alias("n")).collect()
-        return [{"path": f"{name}/{r['file']}", "low": r["low"], "high": r["high"], "n": r["n"], "version": version} for r in sorted(ranges, key=lambda r: r["low"])]
+        return [{"path": f"{name}/{r['file']}", "low": r["low"], "high": r["high"], "n": r["n"], "of": len(ranges), "version": version} for r in sorted(ranges, key=lambda r: r["low"])]
 
     def _number(self, df: DataFrame, first: int) -> DataFrame:
         self._staged = f"data/staged-{uuid.uuid4().hex}"
@@ -692,6 +692,14 @@ class Table(Mapping):
         return f"Table(\n  dir: {self.path}\n  rows: {self.nrows}\n  version: {self.version}\n  mode: {self.mode}\n{self.tree(True, '  ')}\n)"
 
 
+def _paths(files: list[dict]) -> list[str]:
+    """The files' paths; of a folder that is wanted whole, the folder's, which Spark lists by itself."""
+    folders: dict[str, list[dict]] = {}
+    for f in files:
+        folders.setdefault(f["path"].rpartition("/")[0], []).append(f)
+    return [p for d, own in folders.items() for p in ([d] if len(own) == own[0]["of"] else [f["path"] for f in own])]
+
+
 def _arrow(values: object) -> object:
     """A column for Arrow: texts as Python's, unsigned and half-precision numbers in the next wider type."""
     import pyarrow as pa
