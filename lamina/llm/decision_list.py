@@ -113,6 +113,12 @@ def _gain(p1: float, n1: float, p0: float, n0: float) -> float:
     return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p0 / (p0 + n0))) if p1 else 0.0
 
 
+def widen_margin(covered: DataFrame, rule: Rule) -> Rule:
+    """The rule with every threshold moved halfway to the nearest of the rows it is to cover, which all stay covered."""
+    ends = covered.agg(*[(F.min if x.above else F.max)(x.feature).alias(f"c{k}") for k, x in enumerate(rule)]).first()
+    return tuple(Literal(x.feature, x.above, (x.threshold + end) / 2) for x, end in zip(rule, ends, strict=True))
+
+
 def learn_rules(
     rows: DataFrame,
     label: str,
@@ -129,7 +135,8 @@ def learn_rules(
     quantiles among the rows of either label. A step of growing is one aggregate over the rows that are still there:
     counts by (feature, bin, label, part), at most features * 2 * bins * 4 rows, from which
     the driver reads every literal's gain. Two of three rows, by hash, grow a rule;
-    the third decides at which literal it is cut off, and whether it is good enough. Rows with a null
+    the third decides at which literal it is cut off, and whether it is good enough.
+    Thresholds then move halfway to the covered rows, away from the others. Rows with a null
     label or no rows give no rules.
     """
     points = [0.005, 0.01, *[k / bins for k in range(1, bins)], 0.99, 0.995]
@@ -194,6 +201,7 @@ def learn_rules(
         rule = rule[:cut]
         if p < min_cover or p / (p + n) < min_precision:
             break
+        rule = widen_margin(binned.filter(left & holds(rule) & F.col("__y")), rule)
         rules.append(rule)
         left = left & ~holds(rule)
     return rules
