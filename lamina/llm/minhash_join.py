@@ -133,18 +133,20 @@ def merge_components(labels: DataFrame, links: DataFrame, keep: Keep) -> DataFra
     """Join the components of ``labels`` (node, comp) that ``links`` (a, b) of nodes connect; a component is named by its least name.
 
     Works on the graph of components. Every turn takes the least name among the
-    neighbours and then the name of that name, so paths shorten by halves.
+    neighbours and then, twice, the name of that name, so paths shorten fast.
     """
     of = labels.select(F.col("node"), F.col("comp"))
     edges = links.join(of.withColumnRenamed("node", "a").withColumnRenamed("comp", "x"), "a").join(of.withColumnRenamed("node", "b").withColumnRenamed("comp", "y"), "b")
     edges = edges.filter("x != y").select("x", "y").distinct()
     edges = keep(edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
-    names = keep(edges.select(F.col("x").alias("v"), F.col("x").alias("name")).distinct(), "names")
+    names = keep(edges.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("y")).select("v", F.least("v", "y").alias("name")), "names")
     while True:
         near = edges.join(names, edges.y == names.v).groupBy("x").agg(F.min("name").alias("least"))
         lower = names.join(near, names.v == near.x).select("v", F.least("name", "least").alias("to"), "name")
-        jump = names.select(F.col("v").alias("to"), F.col("name").alias("further"))
-        new = keep(lower.join(jump, "to").select("v", F.least("to", "further").alias("name"), (F.least("to", "further") != F.col("name")).alias("moved")), "names")
+        for _ in range(2):
+            jump = names.select(F.col("v").alias("to"), F.col("name").alias("further"))
+            lower = lower.join(jump, "to").select("v", F.least("to", "further").alias("to"), "name")
+        new = keep(lower.select("v", F.col("to").alias("name"), (F.col("to") != F.col("name")).alias("moved")), "names")
         names = new.select("v", "name")
         if not new.filter("moved").limit(1).count():
             break
@@ -283,8 +285,8 @@ def near_duplicates(
     labels = keep(labels, "components")
     tried, before = None, None
     for turn in range(rounds):
-        # what is out stays out: components only grow
-        alive = keep(still_open(sets, labels, percent), "alive")
+        # what is out stays out, as components only grow; before the first merges few nodes are
+        alive = keep(still_open(sets, labels, percent), "alive") if turn else active.select("node", "n", F.col("n").alias("foreign"))
         sets, posted = sets.join(alive, "node", "left_semi"), posted.join(alive, "node", "left_semi")
         placed = posted.join(labels, "node").join(alive, "node")
         # at first the node whose tokens most others have, then any
