@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +67,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidate_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Words of six characters or more with four digits or more that touch no base span, without punctuation around them."""
+    """Words of six characters or more with four digits or more that touch no base span, without punctuation around them: a shape that the extraction does not ask for."""
     out: list[tuple[int, int]] = []
     at = 0
     taken = sorted((a, b) for a, _, b in base)
@@ -90,67 +94,360 @@ def _is_space(c: str) -> bool:
     return c == " " or "\t" <= c <= "\r"
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns of a place: the one and two words before it, and the words on both sides."""
-    clean = lambda words: [w.strip(_PUNCTUATION).lower()[:40] for w in words]
-    before = clean(_WORD.findall(text[max(0, start - 120) : start])[-2:])
-    after = clean(_WORD.findall(text[end : end + 60])[:1])
+#: A slot takes a word, or a run of up to this many: an account number of 34 characters in groups of four has nine.
+MAX_WORDS = 9
+#: Longer words stand in patterns by their hash.
+LONG_WORD = 40
+_MEMO = 200_000
+
+
+class Token(NamedTuple):
+    """A word, parted into its core and the punctuation around it, or a base span."""
+
+    lead: str
+    core: str
+    trail: str
+    #: how patterns name it; a word of punctuation alone is its own name
+    name: str
+    #: 0 plain, 1 with digits or in capitals, 2 capitalised, 3 a base span
+    shape: int
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _name(word: str) -> str:
+    return word if len(word) <= LONG_WORD else f"~{_hash(word):x}"
+
+
+def _token(word: str) -> Token:
+    core = word.strip(_PUNCTUATION)
+    if not core:
+        return Token("", "", "", _name(word), 0)
+    at = word.index(core)
+    shape = 1 if any(map(str.isdigit, core)) or (len(core) > 1 and core.isupper()) else 2 if core[0].isupper() else 0
+    return Token(word[:at], core, word[at + len(core) :], _name(core.lower()), shape)
+
+
+class Places:
+    """Texts as tokens, and the fillers of slots in them; remembers the words it has met."""
+
+    def __init__(self) -> None:
+        self._tokens: dict[str, Token] = {}
+        self._hashes: dict[str, int] = {}
+
+    def tokens(self, text: str, base: list[tuple[int, int, int]]) -> list[Token]:
+        """The words of the text in order, each stretch of base spans that overlap being one token."""
+        if len(self._tokens) > _MEMO:
+            self._tokens.clear()
+        out: list[Token] = []
+        at = 0
+        for a, b in merged(base):
+            out += map(self._word, _WORD.findall(text, at, a))
+            core = text[a:b]
+            out.append(Token("", core, "", _name(core.lower()), 3))
+            at = b
+        out += map(self._word, _WORD.findall(text, at))
+        return out
+
+    def _word(self, word: str) -> Token:
+        got = self._tokens.get(word)
+        if got is None:
+            got = _token(word)
+            if len(word) <= LONG_WORD:
+                self._tokens[word] = got
+        return got
+
+    def instance(self, tokens: list[Token], i: int, j: int) -> int:
+        """The hash of what tokens i to j hold, whatever the case and the spaces."""
+        text = tokens[i].core.lower() if i == j else " ".join(t.core for t in tokens[i : j + 1]).lower()
+        got = self._hashes.get(text)
+        if got is None:
+            if len(self._hashes) > _MEMO:
+                self._hashes.clear()
+            got = self._hashes[text] = _hash(text)
+        return got
+
+
+def merged(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, _, b in base:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def joined(tokens: list[Token], j: int) -> bool:
+    """Whether a filler may go on from token j to the next: no punctuation and no base span between or after."""
+    if j + 1 >= len(tokens) or tokens[j].trail or tokens[j].shape == 3:
+        return False
+    t = tokens[j + 1]
+    return bool(t.core) and not t.lead and t.shape != 3
+
+
+def units(tokens: list[Token]) -> list[int]:
+    """For every token the last token of its unit: a run of two to MAX_WORDS words of one shape belongs to its first word, all others stand alone."""
+    out = list(range(len(tokens)))
+    i, n = 0, len(tokens)
+    while i < n:
+        j = i
+        if tokens[i].shape in (1, 2):
+            while joined(tokens, j) and tokens[j + 1].shape == tokens[i].shape:
+                j += 1
+            if j - i < MAX_WORDS:
+                out[i] = j
+        i = j + 1
+    return out
+
+
+def sides(tokens: list[Token], i: int, j: int) -> tuple[str | None, str | None, str | None]:
+    """The names of the two words before tokens i to j and of the one after; punctuation at the filler is a word."""
+    before = [tokens[k].name for k in range(max(0, i - 2), i)]
+    if tokens[i].lead:
+        before.append(tokens[i].lead)
+    last = tokens[j].trail or (tokens[j + 1].name if j + 1 < len(tokens) else None)
+    return (before[-2] if len(before) > 1 else None, before[-1] if before else None, last)
+
+
+def pattern_names(two: str | None, one: str | None, after: str | None) -> list[str]:
+    """A pattern is the word before, the two words before, or the words on both sides; words hold no spaces."""
     out = []
-    if before:
-        out.append(f"{before[-1]} _")
-        if len(before) == 2:
-            out.append(f"{before[0]} {before[1]} _")
-        if after:
-            out.append(f"{before[-1]} _ {after[0]}")
+    if one is not None:
+        out.append(f"1 {one}")
+        if two is not None:
+            out.append(f"2 {two} {one}")
+        if after is not None:
+            out.append(f"3 {one} {after}")
     return out
 
 
-_SEEN = "base array<struct<start:int,rank:int,kind:string,end:int>>, places array<struct<start:int,end:int,instance:long,seed:boolean,patterns:array<string>>>"
+class Index:
+    """Patterns by their words."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.heads: dict[str, tuple[list[int], dict[str, int], dict[str, int]]] = {}
+        for k, p in enumerate(patterns):
+            kind, *words = p.split(" ")
+            one, two, both = self.heads.setdefault(words[-1] if kind == "2" else words[0], ([], {}, {}))
+            if kind == "1":
+                one.append(k)
+            elif kind == "2":
+                two[words[0]] = k
+            else:
+                both[words[1]] = k
+
+    def fillers(self, tokens: list[Token]) -> Iterator[tuple[int, int, int]]:
+        """(pattern, first token, last token) of every slot that is filled.
+
+        A pattern without a right side takes the unit that begins there, one with
+        both sides the shortest run of up to MAX_WORDS words between them.
+        """
+        if not self.heads:
+            return
+        ends = units(tokens)
+        heads = self.heads
+        for i, t in enumerate(tokens):
+            if not t.core:
+                continue
+            name = t.lead or (tokens[i - 1].name if i else None)
+            head = heads.get(name)
+            if head is None:
+                continue
+            one, two, both = head
+            for k in one:
+                yield k, i, ends[i]
+            if two:
+                k = two.get(sides(tokens, i, i)[0])
+                if k is not None:
+                    yield k, i, ends[i]
+            if both:
+                for j in range(i, min(len(tokens), i + MAX_WORDS)):
+                    k = both.get(sides(tokens, j, j)[2])
+                    if k is not None:
+                        yield k, i, j
+                        break
+                    if not joined(tokens, j):
+                        break
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
-    place = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+    """The patterns around every base span, with the span's instance."""
+    places = Places()
     for batch in batches:
-        bases, places = [], []
+        pairs = set()
         for value in batch.column("text"):
             text = value.as_py() or ""
             base = base_spans(text)
-            bases.append([{"start": a, "rank": r, "kind": KINDS[r], "end": b} for a, r, b in base])
-            found = [(a, b, True) for a, _, b in base] + [(a, b, False) for a, b in candidate_spans(text, base)]
-            places.append(
-                [
-                    {"start": a, "end": b, "instance": int.from_bytes(hashlib.blake2b(text[a:b].lower().encode(), digest_size=8).digest(), "little", signed=True), "seed": s, "patterns": contexts(text, a, b)}
-                    for a, b, s in found
-                ]
-            )
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(bases, pa.list_(span)), pa.array(places, pa.list_(place))], ["key", "base", "places"])
-
-
-def learn_instances(graph: DataFrame, rounds: int, min_support: int, min_confidence: float, min_score: float) -> DataFrame:
+            if base:
+                tokens = places.tokens(text, base)
+                for i, t in enumerate(tokens):
+                    if t.shape == 3:
+                        h = places.instance(tokens, i, i)
+                        pairs.update((p, h) for p in pattern_names(*sides(tokens, i, i)))
+        yield _pairs(pairs)
+
+
+def _pairs(pairs: Iterable[tuple[str, int | None]]) -> pa.RecordBatch:
+    pairs = list(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([h for _, h in pairs], pa.int64())], ["pattern", "instance"])
+
+
+def _count(wanted: Broadcast[pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The fillers of the wanted patterns; one with more than its cap gives a row with no instance instead, as it is too weak whatever else fills it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, caps = (wanted.value.column(c).to_pylist() for c in ("pattern", "cap"))
+        index, places = Index(patterns), Places()
+        found: dict[int, set[int]] = defaultdict(set)
+        over: set[int] = set()
+        held = 0
+        for batch in batches:
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                tokens = places.tokens(text, base_spans(text))
+                for k, i, j in index.fillers(tokens):
+                    if k in over:
+                        continue
+                    some = found[k]
+                    held -= len(some)
+                    some.add(places.instance(tokens, i, j))
+                    held += len(some)
+                    if len(some) > caps[k]:
+                        held -= len(found.pop(k))
+                        over.add(k)
+            if held > 500_000:
+                yield _pairs((patterns[k], h) for k, some in found.items() for h in some)
+                found.clear()
+                held = 0
+        yield _pairs((patterns[k], h) for k, some in found.items() for h in some)
+        yield _pairs((patterns[k], None) for k in over)
+
+    return run
+
+
+def _touch(fresh: Broadcast[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The patterns around every place of the given instances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, places = set(fresh.value.tolist()), Places()
+        for batch in batches:
+            pairs = set()
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                tokens = places.tokens(text, base_spans(text))
+                ends = units(tokens)
+                for i, t in enumerate(tokens):
+                    if not t.core or t.shape == 3:
+                        continue
+                    for j in range(i, min(len(tokens), i + MAX_WORDS)):
+                        h = places.instance(tokens, i, j)
+                        if h in known:
+                            names = pattern_names(*sides(tokens, i, j)[:2], sides(tokens, i, j)[2])
+                            pairs.update((p, h) for p in names if j == ends[i] or p[0] == "3")
+                        if not joined(tokens, j):
+                            break
+            yield _pairs(pairs)
+
+    return run
+
+
+def _mark(accepted: Broadcast[tuple[list[str], np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every text's base spans and the places where an accepted instance fills one of its patterns."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, which, instances = accepted.value
+        index, places = Index(patterns), Places()
+        pairs = set(zip(which.tolist(), instances.tolist()))
+        for batch in batches:
+            bases, mores = [], []
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                base = base_spans(text)
+                bases.append([{"start": a, "rank": r, "kind": KINDS[r], "end": b} for a, r, b in base])
+                hits = set()
+                if pairs:
+                    tokens = places.tokens(text, base)
+                    hits = {(i, j) for k, i, j in index.fillers(tokens) if tokens[i].shape != 3 and (k, places.instance(tokens, i, j)) in pairs}
+                more: list[tuple[int, int]] = []
+                if hits:
+                    at = positions(text, base)
+                    # a run's own words go with it
+                    for a, b in sorted(((at[i][0], at[j][1]) for i, j in hits), key=lambda s: (s[0], -s[1])):
+                        if not more or b > more[-1][1]:
+                            more.append((a, b))
+                mores.append([{"start": a, "rank": 4, "kind": KINDS[4], "end": b} for a, b in more])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(bases, span), pa.array(mores, span)], ["key", "base", "more"])
+
+    return run
+
+
+def positions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Start and end of every token's core."""
+    out: list[tuple[int, int]] = []
+
+    def words(start: int, end: int) -> None:
+        for m in _WORD.finditer(text, start, end):
+            t = _token(m[0])
+            out.append((m.start() + len(t.lead), m.end() - len(t.trail)))
+
+    at = 0
+    for a, b in merged(base):
+        words(at, a)
+        out.append((a, b))
+        at = b
+    words(at, len(text))
+    return out
+
+
+def learn_instances(rows: DataFrame, rounds: int, min_support: int, min_confidence: float, min_score: float) -> DataFrame:
     """(pattern, instance) pairs by which instances that are no seeds are accepted.
 
-    ``graph`` has distinct (pattern, instance, seed). A round scores patterns by
-    the scores of their instances, seeds counting 1, over all their instances and
-    one more; of those with enough support and confidence, instances get
-    1 - product(1 - confidence). Both sides are aggregated before their shuffle, and lookups
-    that may be hot go by lookup_join.
+    ``rows`` has texts. A round takes the patterns that enough known instances touch
+    and counts all their distinct fillers in the texts: confidence is the sum of the
+    fillers' scores, seeds counting 1 and unknown ones 0, over all of them and one
+    more. Fillers of confident patterns get 1 - product(1 - confidence). A pattern
+    with more fillers than the known ones' scores can make confident is dropped at
+    that number, which changes no verdict and bounds what is written.
     """
-    scores = graph.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
-    scores = materialize(scores, "scores")
-    strong = None
-    for _ in range(rounds):
-        known = lookup_join(graph, scores, ["instance"])
-        patterns = known.groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum((F.col("score") >= min_score).cast("int")).alias("support")
+    spark, pair = rows.sparkSession, "pattern string, instance long"
+    texts = rows.select("text")
+    touched = materialize(texts.mapInArrow(_look, pair).distinct(), "seeds")
+    seeds = materialize(touched.select("instance", F.lit(1.0).alias("score")).distinct(), "scores")
+    scores, held = seeds, None
+    for turn in range(rounds):
+        known = lookup_join(touched, scores, ["instance"]).groupBy("pattern").agg(
+            F.sum("score").alias("total"), F.sum((F.col("score") >= min_score).cast("int")).alias("support")
+        )
+        known = known.filter(F.col("support") >= min_support)
+        wanted = known.select("pattern", F.floor(F.col("total") / min_confidence - 1 + 1e-9).cast("long").alias("cap")).toArrow()
+        if not wanted.num_rows:
+            break
+        found = materialize(texts.mapInArrow(_count(spark.sparkContext.broadcast(wanted)), pair).distinct(), "fillers")
+        each = found.join(scores, "instance", "left").groupBy("pattern").agg(
+            (F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("instance") + 1)).alias("confidence"), F.max(F.col("instance").isNull()).alias("over")
         )
-        strong = materialize(patterns.filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)).select("pattern", "confidence"), "patterns")
-        rest = lookup_join(graph, strong, ["pattern"], "inner").groupBy("instance", "seed").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("now"))
-        raised = rest.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("now")).alias("now")).groupBy("instance").agg(F.max("now").alias("now"))
-        scores = materialize(scores.join(raised, "instance", "left").select("instance", F.greatest("score", F.coalesce("now", F.lit(0.0))).alias("score")), "scores")
-    good = scores.filter(F.col("score") >= min_score).select("instance")
-    fresh = graph.filter("not seed").join(good, "instance", "left_semi")
-    return lookup_join(fresh, strong, ["pattern"], "left_semi").select("pattern", "instance").distinct()
+        strong = materialize(each.filter(~F.col("over") & (F.col("confidence") >= min_confidence)).select("pattern", "confidence"), "patterns")
+        held = materialize(lookup_join(found, strong, ["pattern"], "inner"), "held")
+        raised = held.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("now"))
+        before = scores
+        scores = before.join(raised, "instance", "full").select("instance", F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce("now", F.lit(0.0))).alias("score"))
+        scores = materialize(scores, "scores")
+        if turn + 1 == rounds:
+            break
+        fresh = scores.join(before, "instance", "left_anti").select("instance").toArrow().column(0).to_numpy()
+        if len(fresh):
+            more = texts.mapInArrow(_touch(spark.sparkContext.broadcast(fresh)), pair).distinct()
+            touched = materialize(touched.unionByName(more), "touched")
+        elif scores.join(before, ["instance", "score"], "left_anti").isEmpty():
+            break
+    if held is None:
+        return spark.createDataFrame([], pair)
+    good = scores.filter(F.col("score") >= min_score).join(seeds, "instance", "left_anti").select("instance")
+    return held.join(good, "instance", "left_semi").select("pattern", "instance").distinct()
 
 
 def extract_pii(
@@ -159,23 +456,17 @@ def extract_pii(
     """Every row's key, its ``base`` spans and ``more``: identifiers that strong contexts discover.
 
     Spans are (start, rank, kind, end) in code points, sorted. Base spans seed the
-    bootstrapping; words with digits that no base kind takes are its candidates.
-    Null or empty texts have no spans; repeated rows and null keys keep
-    rows and spans of their own; an empty table gives an empty result. Texts are read
-    once; places, without texts, are written to the shared folder, and only rows with candidates are
-    joined.
+    bootstrapping; whatever word, or run of words, fills a slot beside a base span
+    is a candidate, of any shape. Null or empty texts have no spans; repeated rows
+    and null keys keep rows and spans of their own; an empty table gives an empty
+    result. Texts are read once for the seeds, once or twice a round and once for the
+    result; the patterns that a round counts and the accepted pairs go to every worker.
     """
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    seen = rows.mapInArrow(_look, f"key {kind.simpleString()}, {_SEEN}")
-    seen = materialize(seen.withColumn("rid", F.monotonically_increasing_id()), "places")
-    places = seen.filter(F.size("places") > 0).select("rid", F.inline("places"))
-    graph = places.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    accepted = materialize(learn_instances(materialize(graph, "graph"), rounds, min_support, min_confidence, min_score), "accepted")
-    each = places.filter("not seed").select("rid", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-    hits = lookup_join(each, accepted, ["pattern", "instance"], "left_semi")
-    span = F.struct("start", F.lit(4).alias("rank"), F.lit(KINDS[4]).alias("kind"), "end")
-    more = materialize(hits.groupBy("rid").agg(F.sort_array(F.collect_set(span)).alias("more")), "more")
+    accepted = learn_instances(rows, rounds, min_support, min_confidence, min_score).toArrow()
+    names = accepted.column("pattern").combine_chunks().dictionary_encode()
+    pairs = (names.dictionary.to_pylist(), names.indices.to_numpy(), accepted.column("instance").to_numpy())
     spans = "array<struct<start:int,rank:int,kind:string,end:int>>"
-    out = lookup_join(seen.select("rid", "key", "base"), more, ["rid"], "left", 1_000_000)
-    return out.select(F.col("key").alias(key), "base", F.coalesce(F.col("more").cast(spans), F.array().cast(spans)).alias("more"))
+    marked = rows.mapInArrow(_mark(docs.sparkSession.sparkContext.broadcast(pairs)), f"key {kind.simpleString()}, base {spans}, more {spans}")
+    return marked.select(F.col("key").alias(key), "base", "more")

@@ -43,3 +43,14 @@ def test_bootstrapping(spark):
 def test_very_long(spark):
     frame = spark.createDataFrame([(1, "9" * 300_000 + " " + "a" * 300_000 + "@" * 1000 + " +1" + " " * 100_000)], "doc_id long, text string")
     assert extract_pii(frame).first().base == []
+
+
+def test_any_filler(spark):
+    """Strong contexts discover identifiers without digits, short ones and such in groups; all fillers count against a pattern."""
+    others = ["C4F7K", "annasmith", "DE89 3704 0044 0532 0130 00", "555 0199"]
+    rows = [(i, f"please reach me at user{i}@mail.example.com today") for i in range(20)]
+    rows += [(100 + i, f"please reach me at {x} today") for i, x in enumerate(others)]
+    # seeds beside many plain words: a weak pattern
+    rows += [(200 + i, f"it is the user{i}@mail.example.org or the number7654{i} of the thing{'abcdefghijklmnop'[i] * 2}") for i in range(12)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.more] for r in extract_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.more}
+    assert got == {100 + i: [(19, 19 + len(x))] for i, x in enumerate(others)}
