@@ -203,74 +203,105 @@ def units(tokens: list[Token]) -> list[int]:
     return out
 
 
-def sides(tokens: list[Token], i: int, j: int) -> tuple[str | None, str | None, str | None]:
-    """The names of the two words before tokens i to j and of the one after; punctuation at the filler is a word."""
+def sides(tokens: list[Token], i: int, j: int) -> tuple[str | None, str, str, str | None]:
+    """The names of the two words before tokens i to j and of the two after; punctuation at the filler is a word, and so are the text's start and end (\"\")."""
     before = [tokens[k].name for k in range(max(0, i - 2), i)]
-    if tokens[i].lead:
-        before.append(tokens[i].lead)
-    last = tokens[j].trail or (tokens[j + 1].name if j + 1 < len(tokens) else None)
-    return (before[-2] if len(before) > 1 else None, before[-1] if before else None, last)
+    after = [t.name for t in tokens[j + 1 : j + 3]]
+    before = ([] if i > 1 else [""]) + before + ([tokens[i].lead] if tokens[i].lead else [])
+    after = ([tokens[j].trail] if tokens[j].trail else []) + after + ([] if j + 2 < len(tokens) else [""])
+    return (before[-2] if len(before) > 1 else None, before[-1], after[0], after[1] if len(after) > 1 else None)
+
+
+def pattern_names(two: str | None, one: str, after: str, second: str | None) -> list[str]:
+    """A pattern is the word or two words before, the words on both sides, or the word or two words after; words hold no spaces."""
+    out = [f"1 {one}", f"3 {one} {after}", f"4 {after}"]
+    if two is not None:
+        out.append(f"2 {two} {one}")
+    if second is not None:
+        out.append(f"5 {after} {second}")
+    return out
 
 
-def pattern_names(two: str | None, one: str | None, after: str | None) -> list[str]:
-    """A pattern is the word before, the two words before, or the words on both sides; words hold no spaces."""
-    out = []
-    if one is not None:
-        out.append(f"1 {one}")
-        if two is not None:
-            out.append(f"2 {two} {one}")
-        if after is not None:
-            out.append(f"3 {one} {after}")
-    return out
+class Side:
+    """What is known of the patterns with one word beside the slot."""
+
+    __slots__ = ("alone", "pairs", "across")
+
+    def __init__(self) -> None:
+        self.alone: int | None = None
+        self.pairs: dict[str, int] = {}
+        self.across: dict[str, int] = {}
 
 
 class Index:
     """Patterns by their words."""
 
     def __init__(self, patterns: list[str]) -> None:
-        self.heads: dict[str, tuple[list[int], dict[str, int], dict[str, int]]] = {}
-        for k, p in enumerate(patterns):
-            kind, *words = p.split(" ")
-            one, two, both = self.heads.setdefault(words[-1] if kind == "2" else words[0], ([], {}, {}))
-            if kind == "1":
-                one.append(k)
-            elif kind == "2":
-                two[words[0]] = k
+        self.heads: dict[str, Side] = {}
+        self.tails: dict[str, Side] = {}
+        self.patterns = patterns
+        for k in range(len(patterns)):
+            sides, near, kind, far = self._where(k)
+            side = sides.setdefault(near, Side())
+            if kind in "14":
+                side.alone = k
             else:
-                both[words[1]] = k
+                (side.across if kind == "3" else side.pairs)[far] = k
+
+    def _where(self, k: int) -> tuple[dict[str, Side], str, str, str]:
+        kind, *words = self.patterns[k].split(" ")
+        near, far = (words[1], words[0]) if kind == "2" else (words[0], words[-1])
+        return (self.tails if kind in "45" else self.heads), near, kind, far
+
+    def drop(self, k: int) -> None:
+        sides, near, kind, far = self._where(k)
+        side = sides[near]
+        if kind in "14":
+            side.alone = None
+        else:
+            del (side.across if kind == "3" else side.pairs)[far]
+        if side.alone is None and not side.pairs and not side.across:
+            del sides[near]
 
     def fillers(self, tokens: list[Token]) -> Iterator[tuple[int, int, int]]:
         """(pattern, first token, last token) of every slot that is filled.
 
-        A pattern without a right side takes the unit that begins there, one with
-        both sides the shortest run of up to MAX_WORDS words between them.
+        A pattern with a left side alone takes the unit that begins there, one with a
+        right side alone the unit that ends there, one with both the shortest run of up
+        to MAX_WORDS words between them.
         """
-        if not self.heads:
-            return
-        ends = units(tokens)
-        heads = self.heads
+        heads, tails = self.heads, self.tails
+        ends: list[int] | None = None
+        begins: dict[int, int] = {}
+        prev = ""
+        last = len(tokens) - 1
         for i, t in enumerate(tokens):
-            if not t.core:
-                continue
-            name = t.lead or (tokens[i - 1].name if i else None)
-            head = heads.get(name)
-            if head is None:
-                continue
-            one, two, both = head
-            for k in one:
-                yield k, i, ends[i]
-            if two:
-                k = two.get(sides(tokens, i, i)[0])
-                if k is not None:
-                    yield k, i, ends[i]
-            if both:
-                for j in range(i, min(len(tokens), i + MAX_WORDS)):
-                    k = both.get(sides(tokens, j, j)[2])
-                    if k is not None:
-                        yield k, i, j
-                        break
-                    if not joined(tokens, j):
-                        break
+            if t.core:
+                head = heads.get(t.lead or prev)
+                tail = tails.get(t.trail or (tokens[i + 1].name if i < last else ""))
+                if head or tail:
+                    if ends is None:
+                        ends = units(tokens)
+                        begins = {e: b for b, e in enumerate(ends) if e > b}
+                    if head:
+                        if head.alone is not None:
+                            yield head.alone, i, ends[i]
+                        if head.pairs and (k := head.pairs.get(sides(tokens, i, i)[0])) is not None:
+                            yield k, i, ends[i]
+                        if head.across:
+                            for j in range(i, min(last + 1, i + MAX_WORDS)):
+                                k = head.across.get(tokens[j].trail or (tokens[j + 1].name if j < last else ""))
+                                if k is not None:
+                                    yield k, i, j
+                                    break
+                                if not joined(tokens, j):
+                                    break
+                    if tail:
+                        if tail.alone is not None:
+                            yield tail.alone, begins.get(i, i), i
+                        if tail.pairs and (k := tail.pairs.get(sides(tokens, i, i)[3])) is not None:
+                            yield k, begins.get(i, i), i
+            prev = t.name
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +340,6 @@ def _count(wanted: Broadcast[pa.Table]) -> Callable[[Iterator[pa.RecordBatch]],
                 text = value.as_py() or ""
                 tokens = places.tokens(text, base_spans(text))
                 for k, i, j in index.fillers(tokens):
-                    if k in over:
-                        continue
                     some = found[k]
                     held -= len(some)
                     some.add(places.instance(tokens, i, j))
@@ -318,6 +347,7 @@ def _count(wanted: Broadcast[pa.Table]) -> Callable[[Iterator[pa.RecordBatch]],
                     if len(some) > caps[k]:
                         held -= len(found.pop(k))
                         over.add(k)
+                        index.drop(k)
             if held > 500_000:
                 yield _pairs((patterns[k], h) for k, some in found.items() for h in some)
                 found.clear()
@@ -339,14 +369,15 @@ def _touch(fresh: Broadcast[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]],
                 text = value.as_py() or ""
                 tokens = places.tokens(text, base_spans(text))
                 ends = units(tokens)
+                begins = {e: b for b, e in enumerate(ends) if e > b}
                 for i, t in enumerate(tokens):
                     if not t.core or t.shape == 3:
                         continue
                     for j in range(i, min(len(tokens), i + MAX_WORDS)):
                         h = places.instance(tokens, i, j)
                         if h in known:
-                            names = pattern_names(*sides(tokens, i, j)[:2], sides(tokens, i, j)[2])
-                            pairs.update((p, h) for p in names if j == ends[i] or p[0] == "3")
+                            kinds = ("3", *("12" if j == ends[i] else ""), *("45" if i == begins.get(j, j) else ""))
+                            pairs.update((p, h) for p in pattern_names(*sides(tokens, i, j)) if p[0] in kinds)
                         if not joined(tokens, j):
                             break
             yield _pairs(pairs)

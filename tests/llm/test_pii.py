@@ -54,3 +54,17 @@ def test_any_filler(spark):
     rows += [(200 + i, f"it is the user{i}@mail.example.org or the number7654{i} of the thing{'abcdefghijklmnop'[i] * 2}") for i in range(12)]
     got = {r.doc_id: [(s.start, s.end) for s in r.more] for r in extract_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.more}
     assert got == {100 + i: [(19, 19 + len(x))] for i, x in enumerate(others)}
+
+
+def test_sides(spark):
+    """Words count whole, what follows is a context of its own, and so is the text's start."""
+    long = "https://files.example.com/" + "a" * 30
+    rows = [(i, f"w{i} user{i}@mail.example.com is my account{i}") for i in range(8)]
+    rows += [(100, "other C4F7K is my account"), (101, "C4F7L is my account")]
+    # a place after the same 40 characters of another word, and one farther than 120 characters from its word's start
+    rows += [(400 + i, f"v{i} {long}/key user{i}@mail.example.org x{i}") for i in range(8)] + [(500, f"v {long}/lot A77777 x"), (501, f"v {long}/key A88888 x")]
+    rows += [(600 + i, f"u{i} {'b' * 200} user{i}@mail.example.edu x{i}") for i in range(8)] + [(700, f"u {'b' * 199}c A99999 x"), (701, f"u {'b' * 200} A12345 x")]
+    found = lambda rows: {r.doc_id: [r.text[s.start : s.end] for s in r.more] for r in extract_pii(spark.createDataFrame(rows, "doc_id long, text string")).join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect() if r.more}
+    assert found(rows) == {100: ["C4F7K"], 101: ["C4F7L"], 501: ["A88888"], 701: ["A12345"]}
+    starts = [(i, f"user{i}@mail.example.net begins{i} it{i}") for i in range(8)] + [(300, "C4F7M opens this")]
+    assert found(starts) == {300: ["C4F7M"]}
