@@ -16,6 +16,9 @@ HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "opaque")
 
+#: A credential may be repeated over some of its owner's repositories; more than this many hold a copied example.
+MAX_REPOSITORIES = 20
+
 FOUND = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
@@ -70,8 +73,8 @@ def looks_live(value: Column) -> Column:
     return (letters >= 5) & ~F.lower(value).rlike("example|sample|dummy|placeholder|changeme|your_|xxxx|0000|1234567")
 
 
-def ownership(found: DataFrame, max_owners: int) -> DataFrame:
-    """For every candidate hash its distinct repositories and owners and the verdict ``live``.
+def ownership(found: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+    """For every candidate hash its distinct repositories and owners and the verdict ``live``: shaped, and within both bounds.
 
     ``found`` has (hash, repository, owner, shaped). Distinct counts are aggregated
     before and after the shuffle, so a candidate that a third of all documents
@@ -80,18 +83,19 @@ def ownership(found: DataFrame, max_owners: int) -> DataFrame:
     named = lambda c: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit("null"))
     each = found.select("hash", named("repository").alias("r"), named("owner").alias("o"), "shaped")
     counted = each.groupBy("hash").agg(F.count_distinct("r").alias("repositories"), F.count_distinct("o").alias("owners"), F.max("shaped").alias("shaped"))
-    return counted.select("hash", "repositories", "owners", (F.col("shaped") & (F.col("owners") <= max_owners)).alias("live"))
+    return counted.select("hash", "repositories", "owners", (F.col("shaped") & (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live"))
 
 
 def scan_secrets(
-    docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", carry: list[str] | None = None, max_owners: int = 2
+    docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", carry: list[str] | None = None, max_owners: int = 2, max_repositories: int = MAX_REPOSITORIES
 ) -> DataFrame:
     """Every row's base spans, the opaque spans judged live, and what the corpus says of each.
 
     Returns the columns ``carry`` (None: all of ``docs``; not those named like the next), ``base`` and ``more``:
     arrays of (start, rank, kind, end, live, owners, repositories), by start, then
-    kind. A candidate that more than ``max_owners`` distinct owners hold is a copied
-    example; one of few owners that also looks random is live. ``more`` has live
+    kind. A candidate that more than ``max_owners`` distinct owners or more than
+    ``max_repositories`` distinct repositories hold is a copied example; one of few
+    of both that also looks random is live. ``more`` has live
     spans only. Null texts have no spans; repeated rows are kept, each with its own spans.
 
     Texts that no expression meets pass by. The others' candidates (with ``carry``)
@@ -111,7 +115,7 @@ def scan_secrets(
     rows = materialize(seen.select(*carry, "__rid", "__repository", "__owner", "__found"), "candidates")
     some = rows.filter(F.size("__found") > 0)
     each = some.select("__rid", F.col("__repository").alias("repository"), F.col("__owner").alias("owner"), F.inline("__found"))
-    verdicts = materialize(ownership(each.select("hash", "repository", "owner", "shaped"), max_owners), "verdicts")
+    verdicts = materialize(ownership(each.select("hash", "repository", "owner", "shaped"), max_owners, max_repositories), "verdicts")
     judged = lookup_join(each, verdicts, ["hash"])
     span = F.struct("start", "rank", "kind", "end", "live", "owners", "repositories")
     gathered = judged.groupBy("__rid").agg(F.sort_array(F.collect_list(span)).alias("__all"))
@@ -136,11 +140,11 @@ def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def redact_live(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
+def redact_live(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """``docs`` with every live-looking secret of its texts replaced; copied examples and all rows stay. ``n_chars`` follows the text, if it is there."""
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
     asked = docs.select(row, *[F.col(c).alias(f"__{k}") for k, c in enumerate((text, repository, owner))])
-    scanned = scan_secrets(asked, "__0", "__1", "__2", ["__row"], max_owners)
+    scanned = scan_secrets(asked, "__0", "__1", "__2", ["__row"], max_owners, max_repositories)
     marked = scanned.withColumn("__live", F.sort_array(F.filter(F.concat("base", "more"), lambda s: s["live"])))
     changed, old = F.size("__live") > 0, F.col("__row")[text]
     marked = marked.withColumn("__text", F.when(changed, redact(old, F.col("__live"))).otherwise(old))

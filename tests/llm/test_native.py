@@ -119,6 +119,16 @@ def test_secrets_ownership(spark):
     assert got[10].text == "my <secret> é password = Kq7vLm2xRt9z end" and got[10].n_chars == len(got[10].text)
 
 
+def test_secrets_copies_of_one_owner(spark):
+    """A value in many documents of one source is a copied example; one in few stays live."""
+    copied, own = "password = Kq7vLm2xRt9z", "password = Zp4kWn8cBy3h"
+    rows = [(i, copied, "en", "hot", 1) for i in range(21)] + [(100 + i, own, "en", "hot", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r.text for r in redact_live(docs).collect()}
+    assert got == {k: t if k < 100 else "<secret>" for k, t, *_ in rows}
+    assert redact_live(docs, max_repositories=21).filter("text = '<secret>'").count() == 41
+
+
 def test_mixing(spark, odd):
     docs = spark.range(30_000).select(
         F.col("id").alias("doc_id"), F.lit("abcdefghij").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 100 == 1, None).otherwise("b").alias("source")
