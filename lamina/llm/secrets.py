@@ -67,10 +67,12 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def looks_live(value: Column) -> Column:
-    """Enough different characters, and none of the words that examples use."""
+    """Enough different characters, none of the words that examples use, and more than half of it outside filler runs, which random values also hold by chance."""
     letters = F.size(F.array_distinct(F.split(value, "")))
-    # What placeholders are called
-    return (letters >= 5) & ~F.lower(value).rlike("example|sample|dummy|placeholder|changeme|your_|xxxx|0000|1234567")
+    lower = F.lower(value)
+    # What placeholders are called, and what they are filled with
+    rest = F.regexp_replace(lower, "x{4,}|0{4,}|0?1234567(?:89?0?)?(?:abcdef)?", "")
+    return (letters >= 5) & (2 * F.length(rest) > F.length(value)) & ~lower.rlike("example|sample|dummy|placeholder|changeme|your_")
 
 
 def ownership(found: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:

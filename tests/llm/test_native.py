@@ -129,6 +129,15 @@ def test_secrets_copies_of_one_owner(spark):
     assert redact_live(docs, max_repositories=21).filter("text = '<secret>'").count() == 41
 
 
+def test_secrets_filler_runs(spark):
+    """A run of zeros, of x or of counting digits in a random value doesn't make it a placeholder; a value that is mostly such runs is one."""
+    live = ["9f3c0000a71be25d84c6f01937ad5e2b81c4d7f6", "Ab9Xxxxq7Lk2Tz5Vw8Rm3Np6", "e1234567a90bc4f2d83e6b17f05c9a2d4b8e7f61"]
+    filler = ["1234567890abcdef1234567890abcdef", "abcdef0000000000000000000000000000000000", "Ab1xxxxxxxxxxxxxxxxxxxxxxx", "abc1234567"]
+    rows = [(i, f"password = {v} end", "en", f"s{i}", 1) for i, v in enumerate([*live, *filler])]
+    got = {r.doc_id: "<secret>" in r.text for r in redact_live(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {i: i < len(live) for i in range(len(rows))}
+
+
 def test_mixing(spark, odd):
     docs = spark.range(30_000).select(
         F.col("id").alias("doc_id"), F.lit("abcdefghij").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 100 == 1, None).otherwise("b").alias("source")
