@@ -13,7 +13,7 @@ from lamina.operators.rows import ROWID, positions
 if TYPE_CHECKING:
     from lamina.sources.table import Table
 
-#: Values up to which a match is an IN expression; longer lists are joined.
+#: Values up to which a match is an IN expression; longer lists are an IN subquery.
 MATCH_LIST = 10_000
 
 
@@ -142,6 +142,6 @@ class Predicates:
         if len(wanted) <= MATCH_LIST:
             return self._set(F.col(self.name).isin(wanted))
         self._set(F.lit(True))
-        column = self.table.frame().select(self.name, ROWID)
-        frame = self.table.spark.createDataFrame([(v,) for v in wanted], column.select(self.name).schema)
-        return RowSet(self.table, ids=column.join(frame, self.name, "left_semi").select(ROWID))
+        schema = self.table.frame().select(self.name).schema
+        frame = self.table.spark.createDataFrame([(v,) for v in wanted], schema)
+        return self._set(F.col(self.name).isin(frame))

@@ -472,3 +472,18 @@ def test_stream(spark, tmp_path):
         append_stream(stream, t, f"{tmp_path}/cp", availableNow=True).awaitTermination()
     t.reload()
     assert sorted(values(t, "a")) == [0, 1, 2]
+
+
+def test_match_lists_alike(spark, tmp_path):
+    """A long list of values gives the same set as a short one: order by value, negation with nulls, combinations."""
+    rows = [(3,), (None,), (1,), (7,), (None,), (2,)]
+    spark.createDataFrame(rows, "v long").coalesce(1).write.parquet(f"{tmp_path}/m/t.parquet")
+    table = Store.attach(spark, f"{tmp_path}/m")["t"]
+    short, long = table["v"].match([1, 3]), table["v"].match([1, 3, *range(100, 20_000)])
+    for f in (lambda m: m, lambda m: ~m, lambda m: ~~m, lambda m: ~(m & (table["v"] > 1)), lambda m: ~m | (table["v"] == 3), lambda m: m.materialized()):
+        assert f(long).ids() == f(short).ids()
+    assert col(long.by_value()) == col(short.by_value()) == [2, 0] and (~long).ids() == [3, 5]
+    assert table[long].count() == 2
+    store = Store.create_from_array(spark, f"{tmp_path}/u", data())
+    store["rand"][store["id"].match(range(-20_000, 3))] = 9.0
+    assert store["rand"][0:3].toPandas()["rand"].tolist() == [9.0] * 3 and (store["rand"] == 9.0).count() == 3
