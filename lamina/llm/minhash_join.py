@@ -347,13 +347,24 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: its least key's first row.
 
-    Rows with a null key stay. Keys to drop are broadcast after a count, or else joined by salt. Rows that
-    repeat a kept key are thinned to one only if there are any, as that shuffles texts.
+    Rows with a null key stay. Where keys repeat, rows are told apart by key and text,
+    so texts of one key that don't link are judged each for itself, and one of equal
+    rows stays; only then texts are shuffled. What to drop is broadcast after a count,
+    or else joined by salt.
     """
-    judged = materialize(near_duplicates(docs, key, text, width, percent).select(F.col(key).alias("__key"), "kept"), "judged")
-    kept_keys = judged.filter("kept and __key is not null").groupBy("__key").count()
+    repeats = docs.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(1).count() > 0
+    name = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())) if repeats else F.col(key)
+    named = docs.withColumn("__key", name)
+    judged = near_duplicates(named.select("__key", F.col(text).alias("__text")), "__key", "__text", width, percent)
+    if repeats:
+        judged = judged.filter("__key is not null").select("__key", "component_id").distinct()
+        judged = materialize(judged.join(named.select("__key", F.col(key).alias("__id")).distinct(), "__key"), "judged")
+        first = judged.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("first"))
+        judged = judged.join(first, "component_id").select("__key", (F.col("__key") == F.col("first.__key")).alias("kept"))
+    else:
+        judged = judged.select("__key", "kept")
     drop = materialize(judged.filter("not kept").select("__key").distinct(), "dropped")
-    left = lookup_join(docs.withColumn("__key", F.col(key)), drop, ["__key"], "left_anti", 1_000_000)
-    if kept_keys.filter("count > 1").limit(1).count():
+    left = lookup_join(named, drop, ["__key"], "left_anti", 1_000_000)
+    if repeats:
         left = left.filter("__key is null").unionByName(left.filter("__key is not null").dropDuplicates(["__key"]))
     return left.select(*docs.columns)

@@ -57,3 +57,12 @@ def test_odd_rows(spark):
     left = drop_near_duplicates(frame)
     assert left.columns == frame.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 2, 3, 4, 6, 7, 8, 10]
     assert near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_repeated_ids(spark):
+    """Rows of one id are judged by their texts: unlinked ones stay, and only true copies go."""
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    rows = [(1, text("a")), (5, text("a") + " end"), (5, text("b")), (7, text("c")), (7, text("d")), (7, text("c")), (8, text("e")), (8, text("e") + " end"), (9, ""), (None, text("f"))]
+    left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, (r.text or "-")[:1]) for r in left)
+    assert got == [(0, "f"), (1, "a"), (5, "b"), (7, "c"), (7, "d"), (8, "e"), (9, "-")]
