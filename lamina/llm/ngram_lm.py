@@ -1,78 +1,90 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted in Spark, held in sorted hash arrays that workers map."""
+"""An interpolated modified Kneser-Ney model of any order, counted in Spark, held in sorted hash arrays that workers map."""
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache, partial
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.arrays import by_value, load, narrow, save, squeeze, unsqueeze, widen
 from lamina.llm.common import materialize, shared_path
 from lamina.llm.tokens import chunks, mix, word_hashes
 
 #: The hash of a text's end, which is a token; no word's bytes hash to it but by chance.
 END = np.uint64(0x5D1E9C3AB7F20461)
-#: Keys that a task holds before it counts and sends them on, and words or pairs in a file, about.
-HELD = 1 << 22
+#: Tokens that a task holds before it counts and sends them on, that it scores at a time, and of which a file holds the counts, about.
+HELD = 1 << 21
+SLICE = 1 << 20
 PER_FILE = 1 << 21
+#: Bytes of text that are hashed at a time.
+BYTES = 1 << 21
+#: What a file tells of an n-gram's hash besides its bucket: 40 bits.
+PRINT = np.uint64((1 << 40) - 1)
 
+_FACTOR = np.uint64(0x9E6C63D0876A9A99)
+#: What a block's columns are: counts of n-grams, or what follows them as contexts.
+COUNTS, CONTEXTS, SUMMARY = 0, 1, 2
 
-# ---- arrays in shared files -------------------------------------------------
 
+def bits_for(n: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, n) / PER_FILE))))
 
-def _file_system(path: str):
-    from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+def upper(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of hashed keys, by their upper bits."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def save(path: str, array: np.ndarray) -> None:
-    """Write an array under a name of its own and move it into place, so a repeated task leaves one whole file."""
-    system, inner = _file_system(path)
-    system.create_dir(os.path.dirname(inner), recursive=True)
-    unique = f"{inner}.{os.getpid()}.{os.urandom(6).hex()}"
-    with system.open_output_stream(unique) as out:
-        out.write(memoryview(np.ascontiguousarray(array)).cast("B") if array.size else b"")
-    system.move(unique, inner)
+def gram_keys(ids: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams, given by a column for each place."""
+    out = np.zeros(len(ids[0]), np.uint64)
+    for x in ids:
+        out = mix(out * _FACTOR + x.astype(np.uint64) + np.uint64(1))
+    return out
 
 
-@lru_cache(maxsize=4096)
-def load(path: str, dtype: str) -> np.ndarray:
-    """The array in a file: mapped where the shared folder is mounted, else read through its file system."""
-    from pyarrow import fs
+# ---- contexts in a byte ------------------------------------------------------
 
-    system, inner = _file_system(path)
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(inner, dtype, "r") if os.path.getsize(inner) else np.zeros(0, dtype)
-    with system.open_input_file(inner) as f:
-        return np.frombuffer(f.read(), dtype)
+# A context's total and how many of its followers count one, two and more is a code below 255 where the numbers
+# are small: up to 6 of one, 3 of two, and one of 3 to 9 at most.
+_ONES, _TWOS, _MORE = 7, 4, 7
+_FEW = _ONES * _TWOS
+_KNOWN = _FEW * (1 + _MORE)
 
 
-def squeeze(array: np.ndarray) -> bytes:
-    """Compressed bytes of integers, the bytes of equal weight together."""
-    flat = np.ascontiguousarray(array)
-    return zstandard.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, flat.itemsize).T).tobytes(), 1)
+def _decoder() -> np.ndarray:
+    code = np.arange(256)
+    ones, twos, more = code % _ONES, code // _ONES % _TWOS, code // _FEW
+    out = np.stack([ones + 2 * twos + np.where(more, more + 2, 0), ones, twos, more > 0], axis=1)
+    out[_KNOWN:] = 0
+    return out.astype(np.int64)
 
 
-def unsqueeze(data: bytes, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    flat = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(dtype).reshape(-1)
+_DECODED = _decoder()
 
 
-def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The bucket of hashed keys, by their upper bits."""
-    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def encode_contexts(sums: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows (total, ones, twos, more) as bytes, and whole numbers apart for those that don't fit."""
+    total, ones, twos, more = sums.T
+    rest = total - ones - 2 * twos
+    fits = (ones < _ONES) & (twos < _TWOS) & (more < 2) & (rest < _MORE + 3)
+    code = np.where(fits, ones + _ONES * twos + _FEW * np.maximum(rest - 2, 0), 255).astype(np.uint8)
+    at = np.flatnonzero(~fits)
+    return {"context": code, "context_at": at.astype(np.uint32), "context_of": sums[at].astype(np.int64).reshape(-1)}
 
 
-def bits_for(n: int) -> int:
-    return max(0, int(np.ceil(np.log2(max(1, n) / PER_FILE))))
+def decode_contexts(arrays: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    code = arrays["context"][at]
+    out = _DECODED[code]
+    big = np.flatnonzero(code == 255)
+    if len(big):
+        out[big] = arrays["context_of"].reshape(-1, 4)[np.searchsorted(arrays["context_at"], at[big].astype(np.uint32))]
+    return out
 
 
 # ---- the model ---------------------------------------------------------------
@@ -80,65 +92,113 @@ def bits_for(n: int) -> int:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the arrays are, and the numbers that hold for all of them."""
+    """Where the arrays are, and the numbers that hold for all of them.
+
+    A word's id is the place of its hash among all words'; the id ``words`` stands
+    before a text's first word. Level k holds n-grams of k words. The highest counts
+    occurrences, a lower one the different words seen before the n-gram.
+    """
 
     path: str
+    order: int
     tokens: int
     words: int
     word_bits: int
-    word_starts: tuple[int, ...]
-    pair_bits: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
-    pair_types: int
-    word_left: float  # the share of the lowest level that goes to all words alike
-
-    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of words, -1 where unknown: the place of the hash in the sorted arrays."""
+    word_starts: np.ndarray
+    bits: int
+    span: int  # ids of a file of level 1
+    discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)
+    types: int = 0  # n-grams of two words
+    left: float = 1.0  # the share of level 1 that goes to all words alike
+    there: dict[int, np.ndarray] = field(default_factory=dict)  # which buckets of a level have a file
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and their counts; -1 and 0 where unknown."""
         unique, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(unique), -1, np.int64)
-        for b, part in _by_bucket(bucket_of(unique, self.word_bits)):
-            known = load(f"{self.path}/hash-{b}", "u8")
-            at = np.searchsorted(known, unique[part])
-            hit = at < len(known)
-            hit[hit] = known[at[hit]] == unique[part][hit]
-            out[part] = np.where(hit, at + self.word_starts[b], -1)
-        return out[back]
-
-    def word_rows(self, ids: np.ndarray, name: str, columns: int, dtype: str) -> np.ndarray:
-        """Rows of a table by word id; zeros for -1. The id ``words`` is a text's beginning."""
+        ids, raw = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
+        for b, part in by_value(upper(unique, self.word_bits)):
+            if self.there[0][b]:
+                arrays = load(f"{self.path}/0-{b}")
+                at = np.searchsorted(arrays["hash"], unique[part])
+                at[at == len(arrays["hash"])] = 0
+                hit = np.flatnonzero(arrays["hash"][at] == unique[part])
+                ids[part.start + hit] = at[hit] + self.word_starts[b]
+                raw[part.start + hit] = widen(arrays, "raw", at[hit])
+        return ids[back], raw[back]
+
+    def word_counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of known words by id; before a text's first word, one more than any."""
         unique, back = np.unique(ids, return_inverse=True)
-        out = np.zeros((len(unique), columns), dtype)
-        where = np.searchsorted(self.word_starts, unique, "right") - 1
-        for b, part in _by_bucket(where):
-            if b >= 0:
-                table = load(f"{self.path}/{name}-{b}", dtype).reshape(-1, columns)
-                out[part] = table[unique[part] - self.word_starts[b]]
+        out = np.full(len(unique), self.tokens + 1, np.int64)
+        known = unique[: np.searchsorted(unique, self.words)]
+        for b, part in by_value(np.searchsorted(self.word_starts, known, "right") - 1):
+            out[part] = widen(load(f"{self.path}/0-{b}"), "raw", known[part].astype(np.int64) - self.word_starts[b])
         return out[back]
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of pairs, 0 where unseen."""
-        unique, back = np.unique(keys, return_inverse=True)
-        spread = bucket_of(mix(unique), self.pair_bits)
-        order = np.argsort(spread, kind="stable")
-        out = np.zeros(len(unique), np.int64)
-        for b, part in _by_bucket(spread[order]):
-            own = order[part]
-            known = load(f"{self.path}/pair-{b}", "u8")
-            at = np.searchsorted(known, unique[own])
-            hit = at < len(known)
-            hit[hit] = known[at[hit]] == unique[own][hit]
-            counts = load(f"{self.path}/count-{b}", "u4")
-            out[own[hit]] = counts[at[hit]]
-        return out[back]
-
-
-def _by_bucket(sorted_buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
-    edges = np.flatnonzero(np.diff(sorted_buckets)) + 1
-    starts = np.concatenate(([0], edges, [len(sorted_buckets)])).astype(np.int64)
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        if b > a:
-            yield int(sorted_buckets[a]), slice(a, b)
+    def buckets(self, ids: list[np.ndarray], keys: np.ndarray, middle: np.ndarray | None) -> np.ndarray:
+        """The files of n-grams.
+
+        Those of three words and more go by the words that both the n-gram without its
+        first word and the one without its last share, which sends what is summed for
+        these once; where every shared word is frequent (``middle``: the least of their
+        counts), by all words, so no word or phrase makes a file larger than others.
+        """
+        if len(ids) == 1:
+            return (ids[0] // self.span).astype(np.int64)
+        out = upper(keys, self.bits)
+        if middle is not None and self.bits:
+            rare = np.flatnonzero(middle <= PER_FILE // 4)
+            out[rare] = upper(gram_keys([x[rare] for x in ids[1:-1]]), self.bits)
+        return out
+
+    def find(self, ids: list[np.ndarray], middle: np.ndarray | None, top: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Counts of n-grams of known words, and rows (total, ones, twos, more) of them as contexts, unless ``top``."""
+        n, k = len(ids[0]), len(ids)
+        counts, contexts = np.zeros(n, np.int64), None if top else np.zeros((n, 4), np.int64)
+        keys = gram_keys(ids)
+        spread = self.buckets(ids, keys, middle)
+        prints = keys & PRINT
+        # the bucket and the print's upper bits are the order of the files' arrays
+        order = np.argsort((spread.astype(np.uint64) << np.uint64(40)) | prints if self.bits <= 24 else np.lexsort((prints, spread)).argsort())
+        spread, high, low = spread[order], (prints[order] >> np.uint64(8)).astype(np.uint32), (prints[order] & np.uint64(255)).astype(np.uint8)
+        for b, part in by_value(spread):
+            if not self.there[k][b]:
+                continue
+            arrays = load(f"{self.path}/{k}-{b}")
+            at, hit = _search(arrays["high"], arrays["low"], high[part], low[part])
+            own = order[part][hit]
+            counts[own] = widen(arrays, "count", at[hit])
+            if contexts is not None:
+                contexts[own] = decode_contexts(arrays, at[hit])
+        return counts, contexts
+
+    def of_words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``find``, for level 1; ids may be -1."""
+        unique, back = np.unique(ids, return_inverse=True)
+        counts, contexts = np.zeros(len(unique), np.int64), np.zeros((len(unique), 4), np.int64)
+        first = np.searchsorted(unique, 0)
+        for b, part in by_value(unique[first:] // self.span):
+            if self.there[1][b]:
+                part = slice(first + part.start, first + part.stop)
+                arrays = load(f"{self.path}/1-{b}")
+                at = unique[part] - b * self.span
+                counts[part], contexts[part] = widen(arrays, "count", at), decode_contexts(arrays, at)
+        return counts[back], contexts[back]
+
+
+def _search(high: np.ndarray, low: np.ndarray, want_high: np.ndarray, want_low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of sorted wanted prints in sorted prints, and the numbers of the wanted that are there."""
+    at = np.searchsorted(high, want_high)
+    hit = np.zeros(len(at), bool)
+    left = np.arange(len(at))
+    while len(left):
+        left = left[at[left] < len(high)]
+        left = left[high[at[left]] == want_high[left]]
+        same = low[at[left]] == want_low[left]
+        hit[left[same]] = True
+        left = left[~same]
+        at[left] += 1
+    return at, np.flatnonzero(hit)
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,30 +213,75 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, begin
 
 
-def pair_keys(ids: np.ndarray, begin: np.ndarray, start_id: int) -> np.ndarray:
-    """(word before, word) in one number for every token; the first word follows the beginning, ``start_id``."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[begin[:-1]] = start_id
-    return (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
+def places(x: np.ndarray, begin: np.ndarray, order: int, start: int) -> list[np.ndarray]:
+    """A column for each place of the n-gram that ends at a token; ``start`` stands before a text's first."""
+    out = [x]
+    for _ in range(order - 1):
+        before = np.empty_like(x)
+        before[1:] = out[-1][:-1]
+        before[begin[:-1]] = start
+        out.append(before)
+    return out[::-1]
+
+
+def _least(columns: list[np.ndarray]) -> np.ndarray | None:
+    """The least of the shared words' counts, from the counts of all of an n-gram's words."""
+    inner = columns[1:-1]
+    return np.minimum.reduce(inner) if inner else None
+
+
+def _compact(ids: list[np.ndarray], sums: list[np.ndarray], words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """N-grams in order, neighbours that are equal added up; the order's last bits are left open where 64 don't hold all."""
+    width = max(1, int(words).bit_length())
+    free, key = 64, np.zeros(len(ids[0]), np.uint64)
+    for x in ids:
+        take = min(width, free)
+        free -= take
+        key |= (x.astype(np.uint64) >> np.uint64(width - take)) << np.uint64(free)
+        if not free:
+            break
+    order = np.argsort(key)
+    ids = [x[order] for x in ids]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = ids[0][1:] != ids[0][:-1]
+    for x in ids[1:]:
+        fresh[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(fresh)
+    return [x[first] for x in ids], [np.add.reduceat(s[order], first) if len(first) else s for s in sums]
 
 
-def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(parts), return_counts=True)
+BLOCK = "bucket long, role int, data binary"
+
+
+def _block_batch(rows: list[tuple[int, int, bytes]]) -> dict[str, pa.Array]:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+    return {"bucket": pa.array(columns[0], pa.int64()), "role": pa.array(columns[1], pa.int32()), "data": pa.array(columns[2], pa.binary())}
+
+
+def _blocks(ids: list[np.ndarray], sums: list[np.ndarray], middle: np.ndarray | None, role: int, model: Model) -> Iterator[tuple[int, int, bytes]]:
+    """N-grams with their sums, in order, as blocks for the files they belong to."""
+    if not len(ids[0]):
+        return
+    spread = model.buckets(ids, gram_keys(ids), middle)
+    small = spread.astype(np.uint16) if int(spread.max()) < 1 << 16 else spread
+    order = np.argsort(small, kind="stable")
+    columns = [c[order] for c in (*ids, *sums)]
+    for b, part in by_value(spread[order]):
+        yield b, role, squeeze([c[part] for c in columns])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
-        keys, n = _counted(held)
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
-        for _, _, data, offsets in chunks(batch.column("text")):
+        for _, _, data, offsets in chunks(batch.column("text"), BYTES):
             held.append(token_hashes(data, offsets)[0])
             size += len(held[-1])
-            if size >= HELD:
+            if size >= 2 * HELD:
                 yield out()
                 held, size = [], 0
     if size:
@@ -186,26 +291,26 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _write_words(table: pa.Table, path: str, bits: int) -> pa.Table:
     keys, n = table.column("hash").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(keys)
-    b = int(bucket_of(keys[:1], bits)[0])
-    save(f"{path}/hash-{b}", keys[order])
-    save(f"{path}/raw-{b}", n[order].astype("i8"))
+    b = int(upper(keys[:1], bits)[0])
+    save(f"{path}/0-{b}", {"hash": keys[order], **narrow("raw", n[order])})
     return pa.table({"bucket": pa.array([b], pa.int64()), "words": pa.array([len(keys)], pa.int64())})
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _count_grams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """The n-grams of the highest order, counted by parts, as blocks."""
+    kind = np.uint32 if model.words < (1 << 32) - 1 else np.uint64
+
     def out() -> pa.RecordBatch:
-        keys, n = _counted(held)
-        spread = bucket_of(mix(keys), model.pair_bits)
-        order = np.argsort(spread, kind="stable")
-        rows = [(b, squeeze(np.diff(keys[order[p]], prepend=np.uint64(0))), squeeze(n[order[p]].astype("u4"))) for b, p in _by_bucket(spread[order])]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "steps", "counts"])
+        ids = [np.concatenate(c) for c in zip(*held, strict=True)]
+        ids, (n,) = _compact(ids, [np.ones(len(ids[0]), np.int64)], model.words)
+        return pa.RecordBatch.from_pydict(_block_batch(list(_blocks(ids, [n], _middle(ids, model), COUNTS, model))))
 
-    held: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
-        for _, _, data, offsets in chunks(batch.column("text")):
+        for _, _, data, offsets in chunks(batch.column("text"), BYTES):
             hashes, begin = token_hashes(data, offsets)
-            held.append(pair_keys(model.word_ids(hashes), begin, model.words))
+            held.append(places(model.look_up(hashes)[0].astype(kind), begin, model.order, model.words))
             size += len(hashes)
             if size >= HELD:
                 yield out()
@@ -214,42 +319,78 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
         yield out()
 
 
-def _merge_pairs(table: pa.Table, model: Model) -> pa.Table:
-    """Write a bucket's pairs and counts; return its part of what is summed by word, cut by the words' files, and counts of counts."""
+def _middle(ids: list[np.ndarray], model: Model) -> np.ndarray | None:
+    if len(ids) < 3 or not model.bits:
+        return None
+    return _least([model.word_counts(x) if 0 < k < len(ids) - 1 else x for k, x in enumerate(ids)])
+
+
+def _gather(table: pa.Table, role: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams and sums of all blocks of a role."""
+    found = [unsqueeze(d.as_py()) for r, d in zip(table.column("role").to_pylist(), table.column("data"), strict=True) if r == role]
+    if not found:
+        return [], np.zeros(0)
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    return columns[:width], np.stack([c.astype(np.int64) for c in columns[width:]], axis=1)
+
+
+def _merger(model: Model, level: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: _merge(table, model, level) if level > 1 else _merge_words(table, model)
+
+
+def _merge(table: pa.Table, model: Model, level: int) -> pa.Table:
+    """Write a file of a level's n-grams; return what is summed for the level below, and counts of counts."""
     bucket = table.column("bucket")[0].as_py()
-    keys = np.concatenate([np.cumsum(unsqueeze(x.as_py(), "u8"), dtype=np.uint64) for x in table.column("steps")])
-    n = np.concatenate([unsqueeze(x.as_py(), "u4") for x in table.column("counts")]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    keys, n = keys[first], np.add.reduceat(n, first)
-    save(f"{model.path}/pair-{bucket}", keys)
-    save(f"{model.path}/count-{bucket}", np.minimum(n, (1 << 32) - 1).astype("u4"))
-    before, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ids, back = np.unique(np.concatenate((before, word)), return_inverse=True)
-    own, other = back[: len(keys)], back[len(keys) :]
-    sums = np.zeros((len(ids), 5), np.int64)
-    for c, values in enumerate((n, n == 1, n == 2, n >= 3)):
-        sums[:, c] = np.bincount(own, values, len(ids)).astype(np.int64)
-    sums[:, 4] = np.bincount(other, minlength=len(ids))
-    where = np.searchsorted(model.word_starts, ids, "right") - 1
-    rows = [(b, squeeze(np.diff(ids[p], prepend=0)), squeeze(sums[p].T.reshape(-1)), None) for b, p in _by_bucket(where)]
-    rows.append((-1, None, None, [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)]))
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "steps", "sums", "of_counts"])
+    if bucket < 0:
+        return table
+    every: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]] = []
+    for role, columns in ((COUNTS, 1), (CONTEXTS, 4)):
+        ids, sums = _gather(table, role, level)
+        if not ids:
+            every.append((np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * level, np.zeros((0, columns), np.int64)))
+            continue
+        prints = gram_keys(ids) & PRINT
+        order = np.argsort(prints)
+        prints = prints[order]
+        first = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
+        every.append((prints[first], [x[order[first]] for x in ids], np.add.reduceat(sums[order], first, axis=0)))
+    (prints, ids, counts), (of, _, sums) = every
+    counts = counts[:, 0]
+    names = np.union1d(prints, of) if level < model.order else prints
+    arrays = {"high": (names >> np.uint64(8)).astype(np.uint32), "low": (names & np.uint64(255)).astype(np.uint8)}
+    at = np.searchsorted(names, prints)
+    all_counts = np.zeros(len(names), np.int64)
+    all_counts[at] = counts
+    arrays |= narrow("count", all_counts)
+    if level < model.order:
+        contexts = np.zeros((len(names), 4), np.int64)
+        contexts[np.searchsorted(names, of)] = sums
+        arrays |= encode_contexts(contexts)
+    save(f"{model.path}/{level}-{bucket}", arrays)
+    rows = [(-1, SUMMARY, _summary(level, bucket, counts))]
+    one = np.ones(len(counts), np.int64)
+    for role, part, values in ((COUNTS, ids[1:], [one]), (CONTEXTS, ids[:-1], [counts, counts == 1, counts == 2, counts > 2])):
+        part, values = _compact(part, [v.astype(np.int64) for v in values], model.words)
+        rows += _blocks(part, values, _middle(part, model), role, model)
+    return pa.table(_block_batch(rows))
+
+
+def _summary(level: int, bucket: int, counts: np.ndarray) -> bytes:
+    return np.array([level, bucket, *((counts == k).sum() for k in (1, 2, 3, 4)), (counts > 2).sum(), (counts > 0).sum()], np.int64).tobytes()
 
 
 def _merge_words(table: pa.Table, model: Model) -> pa.Table:
-    """Write the sums of a file's words: pairs begun (all, once, twice, more) and pairs ended, by type."""
-    b = table.column("bucket")[0].as_py()
-    start = model.word_starts[b]
-    end = model.word_starts[b + 1] if b + 1 < len(model.word_starts) else model.words + 1
-    total = np.zeros((end - start, 5), np.int64)
-    for steps, sums in zip(table.column("steps"), table.column("sums"), strict=True):
-        total[np.cumsum(unsqueeze(steps.as_py(), "i8")) - start] += unsqueeze(sums.as_py(), "i8").reshape(5, -1).T
-    save(f"{model.path}/stat-{b}", total)
-    ends = total[:, 4]
-    return pa.table({"bucket": pa.array([b], pa.int64()), "of_counts": pa.array([[int((ends == k).sum()) for k in (1, 2, 3, 4)] + [int((ends >= 3).sum())]], pa.list_(pa.int64()))})
+    """Write a file of level 1; return the summaries."""
+    bucket = table.column("bucket")[0].as_py()
+    if bucket < 0:
+        return table
+    counts, contexts = np.zeros(model.span, np.int64), np.zeros((model.span, 4), np.int64)
+    for role, out in ((COUNTS, counts[:, None]), (CONTEXTS, contexts)):
+        ids, sums = _gather(table, role, 1)
+        if ids:
+            np.add.at(out, ids[0].astype(np.int64) - bucket * model.span, sums)
+    save(f"{model.path}/1-{bucket}", narrow("count", counts) | encode_contexts(contexts))
+    return pa.table(_block_batch([(-1, SUMMARY, _summary(1, bucket, counts))]))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -261,80 +402,137 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count all of ``docs`` and write the model's arrays to the shared folder.
+def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
+    """Count all of ``docs`` and write the arrays of a model of ``order`` words, two at least, to the shared folder.
 
     Words are counted and dealt over files by their hash; a word's id is its place.
-    Tasks count their own pairs of ids first and send them as compressed sorted
-    blocks, dealt by a hash of the pair, so no word, however frequent, makes a
-    block larger than others. A block's merge writes its pairs and sends its sums
-    by word, at most one a word and block. The driver holds a number for each file.
+    Tasks count their own n-grams of ids first and send them as compressed sorted
+    blocks, dealt as Model.buckets says. A file's merge writes its n-grams and sends
+    what the level below needs: each n-gram without its first word, to be counted,
+    and each without its last, with what follows it. So level by level down to
+    words, of which one comes at most twice from each file of pairs. A file is
+    named by its level and bucket and written whole, so a lost task is repeated.
+    Counts have 64 bits. The driver holds a few numbers for each file.
+
+    Null texts count as empty, an empty text as its end alone, a text of any length
+    as one; repeated rows count again. An empty table gives a model that knows no
+    word. Other columns are not read.
     """
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
     spark = docs.sparkSession
     path = shared_path(spark, "ngrams")
     texts = docs.select(F.col(text).alias("text"))
     words = materialize(texts.mapInArrow(_count_words, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "words")
     size = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    bits = bits_for(size["v"])
+    v, n, bits = size["v"], size["n"], bits_for(size["v"])
     keyed = words.withColumn("bucket", F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long"))
-    written = keyed.groupBy("bucket").applyInArrow(lambda t: _write_words(t, path, bits), "bucket long, words long").collect()
-    lengths = {r["bucket"]: r["words"] for r in written}
-    starts = np.concatenate(([0], np.cumsum([lengths.get(b, 0) for b in range(1 << bits)])))[:-1]
-    for b in range(1 << bits):
-        if b not in lengths:
-            save(f"{path}/hash-{b}", np.zeros(0, "u8"))
-            save(f"{path}/raw-{b}", np.zeros(0, "i8"))
-    v, n = size["v"], size["n"]
-    if v >= (1 << 32) - 1:
-        raise ValueError("more words than ids of 32 bits")
-    model = Model(path, n, v, bits, tuple(int(x) for x in starts), bits_for(n), (0, 0, 0), (0, 0, 0), 0, 1.0)
-    blocks = texts.mapInArrow(partial(_count_pairs, model=model), "bucket long, steps binary, counts binary")
-    merged = blocks.groupBy("bucket").applyInArrow(lambda t: _merge_pairs(t, model), "bucket long, steps binary, sums binary, of_counts array<long>")
-    merged = materialize(merged, "pairs")
-    of_pairs = [0] * 5
-    for r in merged.filter("bucket < 0").select(*[F.col("of_counts")[k].alias(f"n{k}") for k in range(5)]).agg(*[F.sum(f"n{k}") for k in range(5)]).collect():
-        of_pairs = [x or 0 for x in r]
-    by_word = merged.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _merge_words(t, model), "bucket long, of_counts array<long>").collect()
-    for b in range(1 << bits):
-        if b not in {r["bucket"] for r in by_word}:
-            last = b + 1 == 1 << bits
-            save(f"{path}/stat-{b}", np.zeros((lengths.get(b, 0) + last, 5), np.int64))
-    of_words = np.sum([r["of_counts"] for r in by_word], axis=0) if by_word else [0] * 5
-    d1 = discounts(*(int(x) for x in of_words[:4]))
-    types = of_pairs[4]
-    left = sum(d * float(k) for d, k in zip(d1, (of_words[0], of_words[1], of_words[4]), strict=True)) / types if types else 1.0
-    return Model(path, n, v, bits, model.word_starts, model.pair_bits, discounts(*of_pairs[:4]), d1, types, left)
+    written = {r["bucket"]: r["words"] for r in keyed.groupBy("bucket").applyInArrow(lambda t: _write_words(t, path, bits), "bucket long, words long").collect()}
+    lengths = np.array([written.get(b, 0) for b in range(1 << bits)], np.int64)
+    level_bits = bits_for(n)
+    span = max(1, -(-(v + 1) // (1 << level_bits)))
+    model = Model(path, order, n, v, bits, np.concatenate(([0], np.cumsum(lengths)))[:-1], level_bits, span, there={0: lengths > 0})
+    blocks = texts.mapInArrow(partial(_count_grams, model=model), BLOCK)
+    for level in range(order, 0, -1):
+        blocks = blocks.groupBy("bucket").applyInArrow(_merger(model, level), BLOCK)
+    there = {0: model.there[0]} | {k: np.zeros((1 << level_bits) + 1, bool) for k in range(1, order + 1)}
+    of = {k: np.zeros(6, np.int64) for k in range(1, order + 1)}
+    for r in blocks.collect():
+        level, bucket, *numbers = np.frombuffer(r["data"], np.int64).tolist()
+        there[level][bucket] = True
+        of[level] += numbers
+    found = {k: discounts(*(int(x) for x in of[k][:4])) for k in of}
+    types = int(of[2][5])
+    left = sum(d * float(k) for d, k in zip(found[1], of[1][[0, 1, 4]], strict=True)) / types if types else 1.0
+    return replace(model, discounts=found, types=types, left=left, there=there)
 
 
 def _less(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(counts - np.array((0.0, *d))[np.minimum(counts, 3)], 0)
 
 
+def _shares(contexts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """A context's total, and what its followers leave to the level below; 0 and 1 for one not seen."""
+    out = np.zeros((len(contexts), 2))
+    out[:, 0] = contexts[:, 0]
+    seen = contexts[:, 0] > 0
+    out[:, 1] = 1
+    out[seen, 1] = contexts[seen, 1:] @ np.array(d) / contexts[seen, 0]
+    return out
+
+
+def _probabilities(model: Model, ids: np.ndarray, raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Every token's probability after the ones before it."""
+    order, v, n = model.order, model.words, len(ids)
+    grams, counts = places(ids, begin, order, v), places(raw, begin, order, model.tokens + 1)
+    starts = begin[:-1]
+
+    def after(shares: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = np.empty_like(shares)
+        out[1:] = shares[:-1]
+        out[starts] = first
+        return out
+
+    p = np.full(n, model.left / (v + 1))
+    for k in range(1, order + 1):
+        ahead = after(shares, first) if k > 1 else None  # noqa: F821
+        shares = np.zeros((n, 2)) if k < order else None
+        # all of a level's n-grams that begin before a text's first word
+        none = [np.array([v])] * k
+        if k < order:
+            d = model.discounts[k + 1]
+            first = _shares(model.of_words(none[0])[1] if k == 1 else model.find(none, None if k < 3 else np.array([model.tokens + 1]), False)[1], d)[0]
+        for a in range(0, n, SLICE):
+            part = slice(a, min(a + SLICE, n))
+            if k == 1:
+                seen, contexts = model.of_words(ids[part])
+                if model.types:
+                    p[part] += _less(seen, model.discounts[1]) / model.types
+            else:
+                own = [g[part] for g in grams[-k:]]
+                known = np.flatnonzero(np.minimum.reduce(own) >= 0)
+                seen, contexts = np.zeros(part.stop - a, np.int64), np.zeros((part.stop - a, 4), np.int64)
+                if len(known):
+                    middle = _least([c[part][known] for c in counts[-k:]])
+                    seen[known], more = model.find([g[known] for g in own], middle, k == order)
+                    if more is not None:
+                        contexts[known] = more
+                total, share = ahead[part].T
+                p[part] = _less(seen, model.discounts[k]) / np.maximum(total, 1) + share * p[part]
+            if k < order:
+                shares[part] = _shares(contexts, d)
+    return p
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     n, v = model.tokens, model.words
     for batch in batches:
         tokens, known = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
         base, score = np.zeros(len(batch)), np.zeros(len(batch))
-        for a, b, data, offsets in chunks(batch.column("text")):
-            hashes, begin = token_hashes(data, offsets)
-            ids = model.word_ids(hashes)
-            raw = model.word_rows(ids, "raw", 1, "i8")[:, 0]
-            stat = model.word_rows(ids, "stat", 5, "i8")
-            before = np.empty_like(ids)
-            before[1:] = ids[:-1]
-            before[begin[:-1]] = v
-            ahead = model.word_rows(before, "stat", 5, "i8")
-            both = (ids >= 0) & (before >= 0)
-            pairs = np.zeros(len(ids), np.int64)
-            pairs[both] = model.pair_counts((before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64))
-            low = model.word_left / (v + 1) + (_less(stat[:, 4], model.word_discounts) / model.pair_types if model.pair_types else 0)
-            total = np.maximum(ahead[:, 0], 1)
-            share = np.where(ahead[:, 0] > 0, ahead[:, 1:4] @ np.array(model.pair_discounts, np.float64) / total, 1.0)
-            p = _less(pairs, model.pair_discounts) / total + share * low
+        held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            # texts of many chunks go through the model's files once
+            offset = np.cumsum([0, *(len(x[2]) for x in held)])
+            begin = np.concatenate([*(x[4][:-1] + o for x, o in zip(held, offset, strict=False)), offset[-1:]])
+            a, b = held[0][0], held[-1][1]
+            ids, raw = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            held.clear()
             tokens[a:b] = np.diff(begin)
             known[a:b] = np.add.reduceat((raw > 0).astype(np.int64), begin[:-1])
             base[a:b] = np.add.reduceat(np.log10((raw + 0.1) / (n + 0.1 * (v + 1))), begin[:-1])
-            score[a:b] = np.add.reduceat(np.log10(p), begin[:-1])
+            score[a:b] = np.add.reduceat(np.log10(_probabilities(model, ids, raw, begin)), begin[:-1])
+
+        size = 0
+        for a, b, data, offsets in chunks(batch.column("text"), BYTES):
+            hashes, begin = token_hashes(data, offsets)
+            held.append((a, b, *model.look_up(hashes), begin))
+            size += len(hashes)
+            if size >= SLICE:
+                flush()
+                size = 0
+        if held:
+            flush()
         cols = [batch.column("key"), batch.column("held_out"), *(pa.array(x) for x in (tokens, known, np.full(len(batch), n, np.int64), base, score))]
         yield pa.RecordBatch.from_arrays(cols, ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -342,7 +540,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", held_out: str | None = None) -> DataFrame:
     """Every row's token counts, its unigram ``base_score``, the model's ``score`` (both log10 of the text's probability) and ``perplexity``.
 
-    A null or empty text is its end alone. Rows that repeat or have a null key are scored like others.
+    A null or empty text is its end alone, a text of any length is scored whole.
+    Rows that repeat or have a null key are scored like others; an empty table gives
+    an empty result. Other columns, whatever their names, are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), (F.col(held_out) if held_out else F.lit(False)).alias("held_out"), F.col(text).alias("text"))
