@@ -94,9 +94,11 @@ def decode_contexts(arrays: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray
 class Model:
     """Where the arrays are, and the numbers that hold for all of them.
 
-    A word's id is the place of its hash among all words'; the id ``words`` stands
-    before a text's first word. Level k holds n-grams of k words. The highest counts
-    occurrences, a lower one the different words seen before the n-gram.
+    Ids from 1 on are dealt to words by the bits of their counts, most first, then by
+    file and hash; so ids of what is frequent are small, which blocks of them need to
+    be. The id 0 stands before a text's first word. Level k holds n-grams of k words.
+    The highest counts occurrences, a lower one the different words seen before the
+    n-gram.
     """
 
     path: str
@@ -104,9 +106,8 @@ class Model:
     tokens: int
     words: int
     word_bits: int
-    word_starts: np.ndarray
+    starts: np.ndarray  # the first id of the words of a file whose count has so many bits
     bits: int
-    span: int  # ids of a file of level 1
     discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)
     types: int = 0  # n-grams of two words
     left: float = 1.0  # the share of level 1 that goes to all words alike
@@ -122,41 +123,42 @@ class Model:
                 at = np.searchsorted(arrays["hash"], unique[part])
                 at[at == len(arrays["hash"])] = 0
                 hit = np.flatnonzero(arrays["hash"][at] == unique[part])
-                ids[part.start + hit] = at[hit] + self.word_starts[b]
-                raw[part.start + hit] = widen(arrays, "raw", at[hit])
+                at = at[hit]
+                n = widen(arrays, "raw", at)
+                ids[part.start + hit] = self.starts[b, bit_length(n)] + arrays["nth"][at]
+                raw[part.start + hit] = n
         return ids[back], raw[back]
 
-    def word_counts(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of known words by id; before a text's first word, one more than any."""
-        unique, back = np.unique(ids, return_inverse=True)
-        out = np.full(len(unique), self.tokens + 1, np.int64)
-        known = unique[: np.searchsorted(unique, self.words)]
-        for b, part in by_value(np.searchsorted(self.word_starts, known, "right") - 1):
-            out[part] = widen(load(f"{self.path}/0-{b}"), "raw", known[part].astype(np.int64) - self.word_starts[b])
-        return out[back]
+    @property
+    def files(self) -> int:
+        return 1 << self.bits
 
-    def buckets(self, ids: list[np.ndarray], keys: np.ndarray, middle: np.ndarray | None) -> np.ndarray:
+    def rare_from(self) -> int:
+        """Words from this id on have less than an eighth of the counts that a file holds."""
+        return int(self.starts[0, int(bit_length(np.array([max(1, PER_FILE // 8)]))[0]) - 1])
+
+    def buckets(self, ids: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
         """The files of n-grams.
 
         Those of three words and more go by the words that both the n-gram without its
         first word and the one without its last share, which sends what is summed for
-        these once; where every shared word is frequent (``middle``: the least of their
-        counts), by all words, so no word or phrase makes a file larger than others.
+        these once; where every shared word is frequent, by all words, so no word or
+        phrase makes a file larger than others.
         """
         if len(ids) == 1:
-            return (ids[0] // self.span).astype(np.int64)
+            return ids[0].astype(np.int64) % self.files
         out = upper(keys, self.bits)
-        if middle is not None and self.bits:
-            rare = np.flatnonzero(middle <= PER_FILE // 4)
+        if len(ids) > 2 and self.bits:
+            rare = np.flatnonzero(np.maximum.reduce(ids[1:-1]) >= self.rare_from())
             out[rare] = upper(gram_keys([x[rare] for x in ids[1:-1]]), self.bits)
         return out
 
-    def find(self, ids: list[np.ndarray], middle: np.ndarray | None, top: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    def find(self, ids: list[np.ndarray], top: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Counts of n-grams of known words, and rows (total, ones, twos, more) of them as contexts, unless ``top``."""
         n, k = len(ids[0]), len(ids)
         counts, contexts = np.zeros(n, np.int64), None if top else np.zeros((n, 4), np.int64)
         keys = gram_keys(ids)
-        spread = self.buckets(ids, keys, middle)
+        spread = self.buckets(ids, keys)
         prints = keys & PRINT
         # the bucket and the print's upper bits are the order of the files' arrays
         order = np.argsort((spread.astype(np.uint64) << np.uint64(40)) | prints if self.bits <= 24 else np.lexsort((prints, spread)).argsort())
@@ -174,16 +176,15 @@ class Model:
 
     def of_words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``find``, for level 1; ids may be -1."""
-        unique, back = np.unique(ids, return_inverse=True)
-        counts, contexts = np.zeros(len(unique), np.int64), np.zeros((len(unique), 4), np.int64)
-        first = np.searchsorted(unique, 0)
-        for b, part in by_value(unique[first:] // self.span):
+        counts, contexts = np.zeros(len(ids), np.int64), np.zeros((len(ids), 4), np.int64)
+        spread = np.where(ids >= 0, ids % self.files, self.files)
+        order = np.argsort(spread.astype(np.uint16) if self.bits < 16 else spread, kind="stable")
+        for b, part in by_value(spread[order]):
             if self.there[1][b]:
-                part = slice(first + part.start, first + part.stop)
-                arrays = load(f"{self.path}/1-{b}")
-                at = unique[part] - b * self.span
-                counts[part], contexts[part] = widen(arrays, "count", at), decode_contexts(arrays, at)
-        return counts[back], contexts[back]
+                own = order[part]
+                arrays, at = load(f"{self.path}/1-{b}"), ids[own] // self.files
+                counts[own], contexts[own] = widen(arrays, "count", at), decode_contexts(arrays, at)
+        return counts, contexts
 
 
 def _search(high: np.ndarray, low: np.ndarray, want_high: np.ndarray, want_low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,23 +214,17 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, begin
 
 
-def places(x: np.ndarray, begin: np.ndarray, order: int, start: int) -> list[np.ndarray]:
-    """A column for each place of the n-gram that ends at a token; ``start`` stands before a text's first."""
+def places(x: np.ndarray, begin: np.ndarray, order: int) -> list[np.ndarray]:
+    """A column for each place of the n-gram that ends at a token; 0 stands before a text's first."""
     out = [x]
     for _ in range(order - 1):
         before = np.empty_like(x)
         before[1:] = out[-1][:-1]
-        before[begin[:-1]] = start
+        before[begin[:-1]] = 0
         out.append(before)
     return out[::-1]
 
 
-def _least(columns: list[np.ndarray]) -> np.ndarray | None:
-    """The least of the shared words' counts, from the counts of all of an n-gram's words."""
-    inner = columns[1:-1]
-    return np.minimum.reduce(inner) if inner else None
-
-
 def _compact(ids: list[np.ndarray], sums: list[np.ndarray], words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """N-grams in order, neighbours that are equal added up; the order's last bits are left open where 64 don't hold all."""
     width = max(1, int(words).bit_length())
@@ -258,11 +253,11 @@ def _block_batch(rows: list[tuple[int, int, bytes]]) -> dict[str, pa.Array]:
     return {"bucket": pa.array(columns[0], pa.int64()), "role": pa.array(columns[1], pa.int32()), "data": pa.array(columns[2], pa.binary())}
 
 
-def _blocks(ids: list[np.ndarray], sums: list[np.ndarray], middle: np.ndarray | None, role: int, model: Model) -> Iterator[tuple[int, int, bytes]]:
+def _blocks(ids: list[np.ndarray], sums: list[np.ndarray], role: int, model: Model) -> Iterator[tuple[int, int, bytes]]:
     """N-grams with their sums, in order, as blocks for the files they belong to."""
     if not len(ids[0]):
         return
-    spread = model.buckets(ids, gram_keys(ids), middle)
+    spread = model.buckets(ids, gram_keys(ids))
     small = spread.astype(np.uint16) if int(spread.max()) < 1 << 16 else spread
     order = np.argsort(small, kind="stable")
     columns = [c[order] for c in (*ids, *sums)]
@@ -288,12 +283,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def bit_length(n: np.ndarray) -> np.ndarray:
+    """How many bits numbers below 2**53 have."""
+    return np.frexp(n.astype(np.float64))[1]
+
+
 def _write_words(table: pa.Table, path: str, bits: int) -> pa.Table:
+    """Write a file of words; return how many have counts of so many bits."""
     keys, n = table.column("hash").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(keys)
     b = int(upper(keys[:1], bits)[0])
-    save(f"{path}/0-{b}", {"hash": keys[order], **narrow("raw", n[order])})
-    return pa.table({"bucket": pa.array([b], pa.int64()), "words": pa.array([len(keys)], pa.int64())})
+    kinds = bit_length(n[order])
+    by_kind = np.argsort(kinds, kind="stable")
+    sizes = np.bincount(kinds, minlength=64)
+    nth = np.empty(len(kinds), np.uint32)
+    nth[by_kind] = np.arange(len(kinds)) - (np.cumsum(sizes) - sizes)[kinds[by_kind]]
+    save(f"{path}/0-{b}", {"hash": keys[order], "nth": nth, **narrow("raw", n[order])})
+    return pa.table({"bucket": pa.array([b], pa.int64()), "sizes": pa.array([sizes], pa.list_(pa.int64()))})
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -303,14 +309,14 @@ def _count_grams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
     def out() -> pa.RecordBatch:
         ids = [np.concatenate(c) for c in zip(*held, strict=True)]
         ids, (n,) = _compact(ids, [np.ones(len(ids[0]), np.int64)], model.words)
-        return pa.RecordBatch.from_pydict(_block_batch(list(_blocks(ids, [n], _middle(ids, model), COUNTS, model))))
+        return pa.RecordBatch.from_pydict(_block_batch(list(_blocks(ids, [n], COUNTS, model))))
 
     held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
         for _, _, data, offsets in chunks(batch.column("text"), BYTES):
             hashes, begin = token_hashes(data, offsets)
-            held.append(places(model.look_up(hashes)[0].astype(kind), begin, model.order, model.words))
+            held.append(places(model.look_up(hashes)[0].astype(kind), begin, model.order))
             size += len(hashes)
             if size >= HELD:
                 yield out()
@@ -319,12 +325,6 @@ def _count_grams(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa
         yield out()
 
 
-def _middle(ids: list[np.ndarray], model: Model) -> np.ndarray | None:
-    if len(ids) < 3 or not model.bits:
-        return None
-    return _least([model.word_counts(x) if 0 < k < len(ids) - 1 else x for k, x in enumerate(ids)])
-
-
 def _gather(table: pa.Table, role: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The n-grams and sums of all blocks of a role."""
     found = [unsqueeze(d.as_py()) for r, d in zip(table.column("role").to_pylist(), table.column("data"), strict=True) if r == role]
@@ -371,7 +371,7 @@ def _merge(table: pa.Table, model: Model, level: int) -> pa.Table:
     one = np.ones(len(counts), np.int64)
     for role, part, values in ((COUNTS, ids[1:], [one]), (CONTEXTS, ids[:-1], [counts, counts == 1, counts == 2, counts > 2])):
         part, values = _compact(part, [v.astype(np.int64) for v in values], model.words)
-        rows += _blocks(part, values, _middle(part, model), role, model)
+        rows += _blocks(part, values, role, model)
     return pa.table(_block_batch(rows))
 
 
@@ -384,11 +384,12 @@ def _merge_words(table: pa.Table, model: Model) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     if bucket < 0:
         return table
-    counts, contexts = np.zeros(model.span, np.int64), np.zeros((model.span, 4), np.int64)
+    size = model.words // model.files + 1
+    counts, contexts = np.zeros(size, np.int64), np.zeros((size, 4), np.int64)
     for role, out in ((COUNTS, counts[:, None]), (CONTEXTS, contexts)):
         ids, sums = _gather(table, role, 1)
         if ids:
-            np.add.at(out, ids[0].astype(np.int64) - bucket * model.span, sums)
+            np.add.at(out, ids[0].astype(np.int64) // model.files, sums)
     save(f"{model.path}/1-{bucket}", narrow("count", counts) | encode_contexts(contexts))
     return pa.table(_block_batch([(-1, SUMMARY, _summary(1, bucket, counts))]))
 
@@ -427,15 +428,17 @@ def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     size = words.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     v, n, bits = size["v"], size["n"], bits_for(size["v"])
     keyed = words.withColumn("bucket", F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0).cast("long"))
-    written = {r["bucket"]: r["words"] for r in keyed.groupBy("bucket").applyInArrow(lambda t: _write_words(t, path, bits), "bucket long, words long").collect()}
-    lengths = np.array([written.get(b, 0) for b in range(1 << bits)], np.int64)
-    level_bits = bits_for(n)
-    span = max(1, -(-(v + 1) // (1 << level_bits)))
-    model = Model(path, order, n, v, bits, np.concatenate(([0], np.cumsum(lengths)))[:-1], level_bits, span, there={0: lengths > 0})
+    sizes = np.zeros((1 << bits, 64), np.int64)
+    for r in keyed.groupBy("bucket").applyInArrow(lambda t: _write_words(t, path, bits), "bucket long, sizes array<long>").collect():
+        sizes[r["bucket"]] = r["sizes"]
+    # the highest bits first, and of equal ones the first file
+    ordered = sizes[:, ::-1].T.reshape(-1)
+    starts = 1 + (np.cumsum(ordered) - ordered).reshape(64, -1).T[:, ::-1]
+    model = Model(path, order, n, v, bits, starts, bits_for(n), there={0: sizes.any(axis=1)})
     blocks = texts.mapInArrow(partial(_count_grams, model=model), BLOCK)
     for level in range(order, 0, -1):
         blocks = blocks.groupBy("bucket").applyInArrow(_merger(model, level), BLOCK)
-    there = {0: model.there[0]} | {k: np.zeros((1 << level_bits) + 1, bool) for k in range(1, order + 1)}
+    there = {0: model.there[0]} | {k: np.zeros(model.files + 1, bool) for k in range(1, order + 1)}
     of = {k: np.zeros(6, np.int64) for k in range(1, order + 1)}
     for r in blocks.collect():
         level, bucket, *numbers = np.frombuffer(r["data"], np.int64).tolist()
@@ -461,10 +464,10 @@ def _shares(contexts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return out
 
 
-def _probabilities(model: Model, ids: np.ndarray, raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def _probabilities(model: Model, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Every token's probability after the ones before it."""
     order, v, n = model.order, model.words, len(ids)
-    grams, counts = places(ids, begin, order, v), places(raw, begin, order, model.tokens + 1)
+    grams = places(ids, begin, order)
     starts = begin[:-1]
 
     def after(shares: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -478,10 +481,10 @@ def _probabilities(model: Model, ids: np.ndarray, raw: np.ndarray, begin: np.nda
         ahead = after(shares, first) if k > 1 else None  # noqa: F821
         shares = np.zeros((n, 2)) if k < order else None
         # all of a level's n-grams that begin before a text's first word
-        none = [np.array([v])] * k
+        none = [np.zeros(1, np.int64)] * k
         if k < order:
             d = model.discounts[k + 1]
-            first = _shares(model.of_words(none[0])[1] if k == 1 else model.find(none, None if k < 3 else np.array([model.tokens + 1]), False)[1], d)[0]
+            first = _shares(model.of_words(none[0])[1] if k == 1 else model.find(none, False)[1], d)[0]
         for a in range(0, n, SLICE):
             part = slice(a, min(a + SLICE, n))
             if k == 1:
@@ -493,8 +496,7 @@ def _probabilities(model: Model, ids: np.ndarray, raw: np.ndarray, begin: np.nda
                 known = np.flatnonzero(np.minimum.reduce(own) >= 0)
                 seen, contexts = np.zeros(part.stop - a, np.int64), np.zeros((part.stop - a, 4), np.int64)
                 if len(known):
-                    middle = _least([c[part][known] for c in counts[-k:]])
-                    seen[known], more = model.find([g[known] for g in own], middle, k == order)
+                    seen[known], more = model.find([g[known] for g in own], k == order)
                     if more is not None:
                         contexts[known] = more
                 total, share = ahead[part].T
@@ -521,7 +523,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             tokens[a:b] = np.diff(begin)
             known[a:b] = np.add.reduceat((raw > 0).astype(np.int64), begin[:-1])
             base[a:b] = np.add.reduceat(np.log10((raw + 0.1) / (n + 0.1 * (v + 1))), begin[:-1])
-            score[a:b] = np.add.reduceat(np.log10(_probabilities(model, ids, raw, begin)), begin[:-1])
+            score[a:b] = np.add.reduceat(np.log10(_probabilities(model, ids, begin)), begin[:-1])
 
         size = 0
         for a, b, data, offsets in chunks(batch.column("text"), BYTES):
