@@ -36,6 +36,8 @@ class Encoder(dict):
     A byte-level tokenizer without normalizer merges within words only, so a text's
     ids are those of its words one after another. Texts with characters outside
     the plain set or with the text of a special token go to the tokenizer whole.
+    Texts are sequences of code points that UTF-8 can write, as Spark's are; lone
+    surrogates raise TypeError.
     """
 
     def __init__(self, path: str):
@@ -184,18 +186,19 @@ def _place(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.
 
 
 def pack_documents(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2048, end_id: int = 1, tokenizer: str | None = None, blocks: int = 256
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2048, end_id: int = 1, tokenizer: str | None = None
 ) -> DataFrame:
     """Every document's ids, cut at ``width``, packed into sequences of at most ``width``.
 
     Returns a row a piece: the key, ``start``, ``length``, ``ids_crc32``,
     ``doc_tokens``, ``sequence_id`` and ``offset``. A null or empty text is one piece
-    of the end id alone; rows that repeat or have a null key are documents of their own. An
-    empty table gives an empty result.
+    of the end id alone, a text of any length is cut into as many as it needs; rows that
+    repeat or have a null key are documents of their own. An
+    empty table gives an empty result. Other columns, whatever their names, are not read.
 
     Texts are tokenized once; the pieces, without ids, go to the shared folder. The
     driver sees their length histogram, at most ``width`` numbers, and finds the
-    patterns. Pieces of a length are ranked by blocks, no length in one task, and a
+    patterns. Pieces of a length are ranked by the task that wrote them, no length in one task, and a
     rank is looked up in the slot table, whose size ``width`` bounds.
     """
     kind = docs.schema[key].dataType.simpleString()
@@ -204,6 +207,6 @@ def pack_documents(
     pieces = materialize(rows.mapInArrow(partial(_pieces, path=tokenizer, width=width, end_id=end_id), schema), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = slot_table(place_lengths(histogram, width))
-    ranked = number_slots(pieces, "length", "rank", blocks)
+    ranked = number_slots(pieces, "length", "rank")
     placed = ranked.mapInArrow(partial(_place, table=table), f"{schema}, sequence_id long, offset long")
     return placed.withColumnRenamed("key", key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialize
+from lamina.llm.common import lookup_join, materialize
 
 #: Seed of the hash; another value gives another, equally good, placement.
 SEED = 7
@@ -33,29 +33,27 @@ def rendezvous(key: Column, weights: list[float], seed: int = SEED) -> Column:
     return best["shard"].cast("int")
 
 
-def number_slots(df: DataFrame, group: str, slot: str = "slot", blocks: int = 512) -> DataFrame:
-    """Number the rows of every ``group`` from 0 without gaps.
+def number_slots(df: DataFrame, group: str, slot: str = "slot") -> DataFrame:
+    """Number the rows of every ``group`` (not null) from 0 without gaps.
 
     The rows are materialised once together with the number of the task that wrote
-    them, folded into ``blocks``. Counts by (group, block), at most groups * blocks
-    rows whatever the input's size, give each block its first number, and a window
-    over (group, block) does the rest, so no group is gathered in one task and
-    repeated keys do not make a block larger than others.
+    them. Counts by (group, task) give each task's part of a group its first number,
+    and a window over (group, task) does the rest, so a window holds what one task
+    wrote at most, however large a group grows or often a key repeats. The first
+    numbers are broadcast after a count, or else joined by (group, task).
     """
-    rows = materialize(df.withColumn("__block", F.pmod(F.spark_partition_id(), F.lit(blocks))), "slots")
+    rows = materialize(df.withColumn("__block", F.spark_partition_id()), "slots")
     counts = rows.groupBy(group, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(
-        F.col(group).alias("__group"), F.col("__block").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")
-    )
+    first = materialize(counts.select(group, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")), "firsts")
     inside = Window.partitionBy(group, "__block").orderBy(*[F.col(c) for c in df.columns])
     ranked = rows.withColumn("__rank", F.row_number().over(inside) - 1)
-    joined = ranked.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__block") == F.col("__of")))
+    joined = lookup_join(ranked, first, [group, "__block"], "inner", salts=1)
     return joined.select(*df.columns, (F.col("__rank") + F.col("__first")).cast("long").alias(slot))
 
 
 def shard_documents(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, weights: list[float] | None = None, seed: int = SEED, blocks: int = 512
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, weights: list[float] | None = None, seed: int = SEED
 ) -> DataFrame:
     """Shard, slot and size of every row; native functions only.
 
@@ -63,7 +61,8 @@ def shard_documents(
     ``text_crc32`` (null text: 0), ``law`` ("key"), ``shard``, ``slot`` (gapless in
     the shard) and ``grown_shard``, the shard with one more shard of mean weight.
     Rows that repeat, with equal or null keys, share a shard and get slots of their
-    own. An empty table gives an empty result. Other columns are not read.
+    own; a text's length is bounded by nothing here. An empty table gives an empty
+    result. Other columns, whatever their names, are not read.
     """
     weights = weights or [1.0] * shards
     if len(weights) != shards:
@@ -78,5 +77,5 @@ def shard_documents(
         rendezvous(F.col(key), weights, seed).alias("shard"),
         rendezvous(F.col(key), grown, seed).alias("grown_shard"),
     )
-    numbered = number_slots(placed, "shard", "slot", blocks)
+    numbered = number_slots(placed, "shard", "slot")
     return numbered.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

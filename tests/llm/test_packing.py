@@ -17,7 +17,7 @@ OWN, PLAIN = Encoder(PATH), Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(st.one_of(st.sampled_from("  \n\t\r\x0b\x1c\x85\xa0abcé'sIll123²½ÿĀɏɐ漢_-!<|>"), st.characters()), max_size=60))
+@given(st.text(st.one_of(st.sampled_from("  \n\t\r\x0b\x1c\x85\xa0abcé'sIll123²½ÿĀɏɐ漢_-!<|>"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_encoder(text):
     assert OWN.encode(text) == np.array(PLAIN.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
