@@ -43,6 +43,28 @@ def secrets(text):
     return out + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
 
 
+def secret_values(text):
+    """(kind, start, end, value) of base spans, and of opaque runs that touch none."""
+    text = text or ""
+    out = [("assign", m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(k, a, b, text[a:b]) for k, a, b in secrets(text) if k != "assign"]
+    last = max((b for _, _, b, _ in out), default=0)
+    taken = bytearray(last + 1)
+    for _, a, b, _ in out:
+        taken[a:b] = b"1" * (b - a)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and not any(taken[m.start() : m.end()]):
+            out.append(("opaque", m.start(), m.end(), m[0]))
+    return out
+
+
+def looks_live(value):
+    low = value.lower()
+    rest = re.sub("x{4,}|0{4,}|0?1234567(?:89?0?)?(?:abcdef)?", "", low)
+    named = any(w in low for w in ("example", "sample", "dummy", "placeholder", "changeme", "your_"))
+    return len(set(value)) >= 5 and 2 * len(rest) > len(value) and not named
+
+
 def shingle_set(text, width=4):
     w = words(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()

@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lamina.llm import queries as Q
 from lamina.llm.common import lookup_join, materialize
 from lamina.llm.decision_list import judge_quality, text_stats
-from lamina.llm.mixing import mix_sources
+from lamina.llm.mixing import draw_copies, large_poisson, mix_sources, normal_quantile, source_rates
 from lamina.llm.secrets import redact_live, scan_secrets
 from lamina.llm.sharding import shard_documents
 from tests.llm import brute
@@ -138,6 +139,89 @@ def test_secrets_filler_runs(spark):
     assert got == {i: i < len(live) for i in range(len(rows))}
 
 
+def test_secrets_verdict_is_brute_force(spark):
+    """The ownership verdict of every base span and the spans the method adds, with dictionaries."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    owners, repositories, places = defaultdict(set), defaultdict(set), {}
+    for r in docs:
+        places[r.doc_id] = brute.secret_values(r.text)
+        for *_, value in places[r.doc_id]:
+            owners[value].add(r.source)
+            repositories[value].add(r.doc_id)
+    live = lambda v: brute.looks_live(v) and len(owners[v]) <= 2 and len(repositories[v]) <= 20
+    found = {r.doc_id: r for r in scan_secrets(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    copied = 0
+    for k, spans in places.items():
+        want = sorted((a, b, live(v), len(owners[v]), len(repositories[v])) for kind, a, b, v in spans if kind != "opaque")
+        assert sorted((s.start, s.end, s.live, s.owners, s.repositories) for s in found[k].base) == want
+        assert sorted((s.start, s.end) for s in found[k].more) == sorted((a, b) for kind, a, b, v in spans if kind == "opaque" and live(v))
+        copied += sum(not x[2] for x in want)
+    assert copied
+
+
+def test_secrets_many_matches(spark):
+    """A text with very many matches takes time in proportion, and keeps its places."""
+    import time
+
+    def text(n):
+        return " ".join(f"é {k:032x} password={k:08d}Q{k % 7} {'pad ' * (k % 3)}" for k in range(n))
+
+    took = []
+    for n in (20_000, 80_000):
+        body = text(n)
+        docs = spark.createDataFrame([(1, body, "en", "s", 1), (2, "token: Zp4kWn8cBy3h", "en", "t", 1)], DOC)
+        began = time.time()
+        got = {r.doc_id: r.text for r in redact_live(docs).collect()}
+        took.append(time.time() - began)
+        out, at = [], 0
+        for _, a, b, v in sorted((s for s in brute.secret_values(body) if s[0] != "opaque"), key=lambda s: (s[1], brute.SECRET_KINDS.index(s[0]))):
+            if brute.looks_live(v):
+                if a >= at:
+                    out.append(body[at:a] + "<secret>")
+                at = max(at, b)
+        assert len(out) > n // 2 and got[1] == "".join(out) + body[at:] and got[2] == "<secret>"
+    assert took[1] < 6 * took[0] + 5
+
+
+def test_redact_over_blocks(spark, monkeypatch):
+    from lamina.llm import secrets
+
+    monkeypatch.setattr(secrets, "BLOCK", 7)
+    monkeypatch.setattr(secrets, "LARGE_BLOCK", 21)
+    text = "a password=Kq7vLm2xRt9z é" * 3 + " and a long tail of words " + "token: Zp4kWn8cBy3h"
+    got = redact_live(spark.createDataFrame([(1, text, "en", "s", 1)], DOC)).first().text
+    assert got == "a <secret> é" * 3 + " and a long tail of words <secret>"
+
+
+def test_large_rates(spark):
+    """Draws at means where no table is made, against the distribution's mean and spread."""
+    quantile = spark.range(1, 1000).select((F.col("id") / 1000).alias("u")).withColumn("z", normal_quantile(F.col("u"))).collect()
+    assert all(abs(NormalDist().inv_cdf(r.u) - r.z) < 1e-7 for r in quantile)
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("x").alias("text"))
+    for rate in (1e3, 4097.0, 1e7, 1e11):
+        drawn = draw_copies(docs, materialize(source_rates(docs, "source", "text", None, rate * n), "rates"), "doc_id", "source", 11)
+        mean, variance = drawn.agg(F.avg(F.col("__n") - rate), F.var_samp(F.col("__n") - rate)).first()
+        assert abs(mean) < 5 * math.sqrt(rate / n) and abs(variance / rate - 1) < 0.08
+    few = mix_sources(docs.filter("doc_id < 2"), budget=2e5).select("doc_id", "copy", "n_copies").collect()
+    by = defaultdict(list)
+    for r in few:
+        by[r.doc_id].append(r)
+    assert set(by) == {0, 1} and all(sorted(r.copy for r in v) == list(range(1, v[0].n_copies + 1)) for v in by.values()) and abs(len(few) - 2e5) < 6 * math.sqrt(2e5)
+
+
+def test_large_poisson_is_the_inverse(spark):
+    mean = 5000.0
+    c, table = 0.0, []
+    for k in range(4500, 5500):
+        c += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        table.append(c)
+    rows = spark.range(1, 2000).select((F.col("id") / 2000).alias("u")).withColumn("n", large_poisson(F.lit(mean), F.col("u"))).collect()
+    wrong = sum(4500 + sum(x <= r.u for x in table) != r.n for r in rows)
+    assert wrong <= 20
+
+
 def test_mixing(spark, odd):
     docs = spark.range(30_000).select(
         F.col("id").alias("doc_id"), F.lit("abcdefghij").alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 100 == 1, None).otherwise("b").alias("source")
