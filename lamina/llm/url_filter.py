@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import lookup_join, materialize
 
-#: Letters of the longest word that a piece is split into.
-LONGEST = 20
 #: What a letter that no word covers costs, in log10, beside a word seen once.
 STRAY = 2.0
 
@@ -46,12 +44,14 @@ def word_counts(pages: DataFrame, html: str) -> DataFrame:
 def split_words(piece: str, words: list[tuple[int, int, int]], total: int) -> list[str]:
     """The most likely words of a piece under a unigram model; letters that no word covers stay together.
 
-    ``words`` has (start, length, count) of the piece's substrings that are words.
+    ``words`` has (start, length, count) of the piece's substrings that are words. Of
+    equally likely splits, the one counts whose last word is the longest, and before
+    it again.
     """
     best = [0.0] + [-math.inf] * len(piece)
     back: list[tuple[int, bool]] = [(0, True)] * (len(piece) + 1)
     by_start: dict[int, list[tuple[int, int]]] = {}
-    for start, length, count in words:
+    for start, length, count in sorted(words):
         by_start.setdefault(start, []).append((length, count))
     base = math.log10(total + 1)
     for a in range(len(piece)):
@@ -86,8 +86,8 @@ def _split(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(words, pa.list_(pa.string()))], ["piece", "words"])
 
 
-def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All substrings of up to LONGEST letters, with the piece's number and the start."""
+def _substrings(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
+    """All substrings of the given lengths, with the piece's number and the start."""
     for batch in batches:
         ids, starts, words = [], [], []
 
@@ -99,25 +99,31 @@ def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for pid, piece in zip(batch.column("pid").to_pylist(), batch.column("piece").to_pylist(), strict=True):
             for a in range(len(piece)):
-                for b in range(a + 1, min(a + LONGEST, len(piece)) + 1):
+                for n in lengths:
+                    if a + n > len(piece):
+                        break
                     ids.append(pid)
                     starts.append(a)
-                    words.append(piece[a:b])
+                    words.append(piece[a : a + n])
                 if len(ids) >= 1 << 16:
                     yield out()
         yield out()
 
 
 def segment(pieces: DataFrame, counts: DataFrame) -> DataFrame:
-    """(piece, words) for distinct ``pieces``, with ``counts`` of (word, n).
+    """(piece, words) for distinct ``pieces``, with materialised ``counts`` of (word, n).
 
-    The substrings of the distinct pieces are joined with the counts, so the
-    dictionary is never gathered, and each piece gets the words that lie in it.
+    The substrings of the distinct pieces, of all lengths that words have, are joined
+    with the counts by lookup_join, as some words are in nearly every piece; so the
+    dictionary is never gathered, and each piece gets the words that lie in it. Of
+    the dictionary, the driver sees which lengths there are.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    named = pieces.select("piece", F.xxhash64("piece").alias("pid"))
-    parts = named.mapInArrow(_substrings, "pid long, start int, word string")
-    found = parts.join(counts, "word").groupBy("pid").agg(F.collect_list(F.struct("start", F.length("word").alias("length"), "n")).alias("found"))
+    lengths = sorted(r[0] for r in counts.select(F.length("word")).distinct().collect())
+    # the numbers are written with the pieces, so they are the same for all that follows
+    named = materialize(pieces.select("piece", F.monotonically_increasing_id().alias("pid")), "numbered")
+    parts = named.mapInArrow(lambda b: _substrings(b, lengths), "pid long, start int, word string")
+    found = lookup_join(parts, counts, ["word"], "inner").groupBy("pid").agg(F.collect_list(F.struct("start", F.length("word").alias("length"), "n")).alias("found"))
     return named.join(found, "pid", "left").select("piece", "found").mapInArrow(lambda b: _split(b, total), "piece string, words array<string>")
 
 
@@ -132,7 +138,8 @@ def judge_urls(
     of a host label or of a path part, with its place; runs of digits are one token.
     Words come from a unigram Viterbi split of the table's distinct labels and parts,
     the counts from the text of its pages. Null urls, and tables in which no rule applies, are
-    allowed. Repeated rows and null keys get a row each; other columns are not read.
+    allowed. Repeated rows and null keys get a row each; urls and pages of any length are read
+    whole; an empty table gives an empty result; other columns, whatever their names, are not read.
 
     Tokens are counted by class before the shuffle; lookups of pieces and tokens, some of
     which most urls have, go by lookup_join.

@@ -3,10 +3,13 @@
 import itertools
 import math
 import re
+from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
 from lamina.llm import queries as Q
+from lamina.llm.common import materialize
 from lamina.llm.url_filter import judge_urls, segment, split_words
 
 
@@ -73,3 +76,48 @@ def test_learns(spark):
     rows += [(100 + i, f"http://goodbooks{i}.com/de/", "") for i in range(20)] + [(200, "http://pillscheap.org/it/", ""), (201, "http://booksgood.org/it/", "")]
     got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), Q.URL_RULES).collect()}
     assert (got[200], got[201]) == ("block", "allow")
+
+
+def plain_verdicts(pages):
+    """page_id -> (verdict, log odds), with dictionaries."""
+    counts = Counter(w for r in pages for w in regex.split(r"[^\p{L}]+", re.sub("<[^>]*>", " ", (r.html or "").lower())) if w)
+    total = sum(counts.values())
+    cut = lambda x: [re.sub("[0-9]+", "#", p) for p in regex.split(r"[^\p{L}\p{N}]+", x.lower()) if p]
+
+    def tokens(url):
+        out = []
+        for place, piece in [(k, p) for k, x in zip("hp", parts(url), strict=True) for p in cut(x)]:
+            known = [(a, b - a, counts[piece[a:b]]) for a in range(len(piece)) for b in range(a + 1, len(piece) + 1) if piece[a:b] in counts]
+            out += [f"{place}:{w}" for w in split_words(piece, known, total)]
+        return out
+
+    said = {r.page_id: rule(*parts(r.url))[1] for r in pages}
+    seen = {v: Counter(t for r in pages if said[r.page_id] == v for t in tokens(r.url)) for v in ("block", "allow")}
+    v, n = len(set(seen["block"]) | set(seen["allow"])), {k: sum(c.values()) for k, c in seen.items()}
+    labels = Counter(said.values())
+    p = lambda t, k: math.log((seen[k][t] + 1) / (n[k] + v + 1))
+    out = {}
+    for r in pages:
+        odds = None if said[r.page_id] else math.log((labels["block"] + 1) / (labels["allow"] + 1)) + sum(p(t, "block") - p(t, "allow") for t in tokens(r.url))
+        out[r.page_id] = (said[r.page_id] or ("block" if odds > 0 else "allow"), odds)
+    return out
+
+
+def test_verdicts(spark):
+    """Every verdict against a plain classifier."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = plain_verdicts(pages.collect())
+    rows = judge_urls(pages, Q.URL_RULES).collect()
+    assert len(rows) == len(want) and any(r.log_odds is not None for r in rows)
+    for r in rows:
+        verdict, odds = want[r.page_id]
+        assert (r.log_odds is None) == (odds is None) and (odds is None or math.isclose(r.log_odds, odds, rel_tol=1e-9, abs_tol=1e-9))
+        assert r.verdict == verdict or abs(odds) < 1e-9
+
+
+def test_long_words(spark):
+    """A word is found whatever its length, and two pieces never share their words."""
+    long = "donaudampfschifffahrtsgesellschaft"
+    frame = spark.createDataFrame([("x" + long,), ("the" + long + "the",)], "piece string")
+    got = {r.piece: r.words for r in segment(frame, materialize(spark.createDataFrame([(long, 5), ("the", 50)], "word string, n long"), "w")).collect()}
+    assert got == {"x" + long: ["x", long], "the" + long + "the": ["the", long, "the"]}
