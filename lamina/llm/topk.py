@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from lamina.llm.common import materialize
 
 #: Candidates of a block that are evaluated between two looks at the bounds.
 STEP = 256
+#: Bytes of vectors in a block, unless one alone has more.
+BYTES = 4 << 20
+#: The ends of a score's range.
+LAST = (1 << 63) - 1
 
 
 def quantize(docs: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -46,19 +52,31 @@ def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Candidate vectors with their squared lengths and pivot distances."""
+    """Candidate vectors with their squared lengths and, from the pivot table, their distances."""
 
     ids: np.ndarray
     x: np.ndarray
     square: np.ndarray
     far: np.ndarray
     exact: bool  # products fit a double's integers
+    small: bool  # products fit 64 bits
 
     @staticmethod
-    def of(ids: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> Block:
+    def of(ids: np.ndarray, x: np.ndarray, far: np.ndarray) -> Block:
         f = x.astype(np.float64)
-        exact = bool(x.size) and float(np.abs(f).max()) ** 2 * x.shape[1] < 2**52
-        return Block(ids, f if exact else x, (f * f).sum(1), pivot_distances(f, pivots), exact)
+        most = float(np.abs(f).max()) if x.size else 0.0
+        exact = most**2 * x.shape[1] < 2**52
+        return Block(ids, f if exact else x, (f * f).sum(1), far, exact, most**2 * x.shape[1] < 2**62)
+
+    def products(self, at: np.ndarray, q: np.ndarray, f: np.ndarray) -> list[int]:
+        """Scores of some candidates; those that 64 bits don't hold are the range's ends."""
+        size = float(np.abs(f).max()) if len(f) else 0.0
+        if self.exact and size**2 * len(f) < 2**52:
+            return (self.x[at] @ f).astype(np.int64).tolist()
+        if self.small and size**2 * len(f) < 2**62:
+            return (self.x[at].astype(np.int64) @ q).tolist()
+        whole = self.x[at].astype(np.int64).astype(object) @ q.astype(object) if len(f) else np.zeros(len(at), object)
+        return [max(-LAST - 1, min(LAST, int(s))) for s in whole]
 
 
 def search_block(block: Block, query: int, q: np.ndarray, far: np.ndarray, k: int, floor: float) -> tuple[list[tuple[int, int]], int]:
@@ -69,11 +87,16 @@ def search_block(block: Block, query: int, q: np.ndarray, far: np.ndarray, k: in
     (|q|^2 + |x|^2 - bound^2) / 2. Candidates are evaluated from the highest bound
     on, and the search ends when the next bound is below the k-th score or ``floor``,
     a score that the whole table's k-th is known to reach. Bounds get a slack for
-    rounding; ties with the k-th are evaluated.
+    rounding, and for distances of 32 bits; ties with the k-th are evaluated.
     """
     f = q.astype(np.float64)
-    lower = np.abs(block.far - far).max(1) if block.far.shape[1] else np.zeros(len(block.ids))
     size = float(f @ f) + block.square
+    if block.far.shape[1]:
+        # a stored distance is off by its rounding, and by that of a difference of squares
+        off = np.abs(block.far - far)
+        lower = np.maximum(off - 1e-6 * (block.far + far) - 1, 0).max(1)
+    else:
+        lower = np.zeros(len(block.ids))
     upper = (size - lower * lower) / 2 + 1e-9 * (size + 1) + 1
     order = np.argsort(-upper, kind="stable")
     best: list[tuple[int, int]] = []
@@ -85,61 +108,66 @@ def search_block(block: Block, query: int, q: np.ndarray, far: np.ndarray, k: in
         at = at[upper[at] >= least]
         at = at[block.ids[at] != query]
         seen += len(at)
-        scores = (block.x[at] @ (f if block.exact else q)).astype(np.int64)
-        best = sorted([*best, *zip(scores.tolist(), block.ids[at].tolist(), strict=True)], key=lambda s: (-s[0], s[1]))[:k]
+        best = sorted([*best, *zip(block.products(at, q, f), block.ids[at].tolist(), strict=True)], key=lambda s: (-s[0], s[1]))[:k]
         if len(best) == k:
             least = max(least, best[-1][0])
     return best, seen
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Rows with vectors packed into rows of one block each."""
+BLOCK = "width int, ids binary, vectors binary, far binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows with vectors packed into rows of one block each, with their part of the pivot table: distances of 32 bits, a row a vector."""
     for batch in batches:
         by_width: dict[int, list[int]] = {}
         for k, v in enumerate(batch.column("v")):
             by_width.setdefault(len(v), []).append(k)
         for width, own in by_width.items():
-            for a in range(0, len(own), rows):
-                part = batch.take(pa.array(own[a : a + rows]))
+            step = max(1, min(rows, BYTES // (8 * max(1, width))))
+            for a in range(0, len(own), step):
+                part = batch.take(pa.array(own[a : a + step]))
                 flat = part.column("v").flatten().to_numpy().astype("<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([width], pa.int32()), pa.array([part.column("id").to_numpy().astype("<i8").tobytes()]), pa.array([flat.tobytes()])], ["width", "ids", "vectors"]
-                )
+                x = flat.reshape(len(part), width).astype(np.float64)
+                far = pivot_distances(x, pivots if pivots.shape[1:] == (width,) else np.zeros((0, width))).astype("<f4")
+                columns = [pa.array([width], pa.int32()), *(pa.array([c.tobytes()]) for c in (part.column("id").to_numpy().astype("<i8"), flat, far))]
+                yield pa.RecordBatch.from_arrays(columns, ["width", "ids", "vectors", "far"])
 
 
-def _unpack(ids: bytes, vectors: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(width: int, ids: bytes, vectors: bytes, far: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     names = np.frombuffer(ids, "<i8")
-    return names, np.frombuffer(vectors, "<i8").reshape(len(names), width)
+    return names, np.frombuffer(vectors, "<i8").reshape(len(names), width), np.frombuffer(far, "<f4").reshape(len(names), -1).astype(np.float64)
 
 
-def _answers(width: int, ids: bytes, vectors: bytes, questions: list[tuple[int, bytes, bytes]], pivots: np.ndarray, pivot_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score) of a candidate block for blocks of queries."""
-    own = pivots if pivots.shape[1:] == (width,) else np.zeros((0, width))
-    names = pivot_ids if len(own) else np.zeros(0, np.int64)
-    block = Block.of(*_unpack(ids, vectors, width), own)
-    out = []
-    for query_width, query_ids, query_vectors in questions:
-        if query_width != width:
+Packed = tuple[int, bytes, bytes, bytes]
+
+
+def _answers(candidates: Packed, questions: list[Packed], pivots: np.ndarray, pivot_ids: np.ndarray, k: int) -> Iterator[tuple[int, int | None, int | None, int]]:
+    """(query, id, score, 0) of a candidate block for blocks of queries, and for each query (query, null, null, how many were evaluated)."""
+    width = candidates[0]
+    block = Block.of(*_unpack(*candidates))
+    own, names = (pivots, pivot_ids) if block.far.shape[1] else (np.zeros((0, width)), np.zeros(0, np.int64))
+    for question in questions:
+        if question[0] != width:
             continue
-        asked, queries = _unpack(query_ids, query_vectors, width)
-        far = pivot_distances(queries.astype(np.float64), own)
+        asked, queries, far = _unpack(*question)
         # pivots are rows of the table: the k-th best of them is reached by the whole table's k-th
         score = queries.astype(np.float64) @ own.T
         for j, query in enumerate(asked.tolist()):
             known = np.sort(score[j][names != query])
-            floor = known[-k] - 1 - 1e-6 * abs(known[-k]) if len(known) >= k else -np.inf
-            out += [(query, i, s) for s, i in search_block(block, query, queries[j], far[j], k, floor)[0]]
-    return out
+            floor = min(known[-k], LAST) * 1.0 - 1 - 1e-6 * abs(known[-k]) if len(known) >= k else -np.inf
+            best, seen = search_block(block, query, queries[j], far[j], k, floor)
+            yield query, None, None, seen
+            for s, i in best:
+                yield query, i, s, 0
 
 
-def _search(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, pivot_ids: np.ndarray, k: int, questions: object = None) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, pivot_ids: np.ndarray, k: int, questions: Broadcast, report: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for n in range(len(batch)):
-            row = {c: batch.column(c)[n].as_py() for c in batch.schema.names}
-            asked = questions.value if questions is not None else [(row["width"], row["query_ids"], row["query_vectors"])]
-            out = _answers(row["width"], row["ids"], row["vectors"], asked, pivots, pivot_ids, k)
-            columns = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        for row in zip(*(batch.column(c).to_pylist() for c in ("width", "ids", "vectors", "far")), strict=True):
+            out = [x for x in _answers(row, questions.value, pivots, pivot_ids, k) if report or x[1] is not None]
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score", "seen"])
 
 
 def top_k(
@@ -154,42 +182,49 @@ def top_k(
     block: int = 2048,
     query_block: int = 1024,
     small: int = 32 << 20,
-    lane: int = 64,
+    report: bool = False,
 ) -> DataFrame:
     """For each row whose key ``every`` divides, the ``k`` other rows of the highest integer inner product.
 
-    Returns (query_id, rank, vec_id, score); ties go to the smaller id. Vectors that
+    Returns (query_id, rank, vec_id, score), with ``report`` also ``evaluated``, the
+    number of candidates whose product was taken for the query; ties go to the smaller id. Vectors that
     are null or hold null or non-finite components take no part; vectors of
     different lengths do not meet. A repeated id is not its own candidate; repeated
-    queries count once. An empty table gives an empty result. Products beyond 64 bits are not defined.
-
-    Candidates are packed into rows of ``block`` vectors and queries into rows of
-    ``query_block``; each candidate block meets each query block once, which is the
-    stated query set against all rows. Queries of up to ``small`` bytes are broadcast;
-    beyond that, blocks meet by a join over lanes of about ``lane`` candidate blocks. A pair of blocks is searched by pivots (see
-    search_block) and gives at most k rows a query, which a window with a limit thins
-    before and after its shuffle. Pivots come from a bounded sample and only speed the search.
+    queries count once. Components and products that 64 bits don't hold count as
+    the range's ends. Long vectors make smaller blocks. An empty table gives an
+    empty result. Other columns, whatever their names, are not read.
+
+    Candidates are packed into rows of ``block`` vectors, with their distances to the
+    pivots, and stay where they are. Queries, in rows of ``query_block``, are the
+    stated set against all rows: they are broadcast in groups of about ``small``
+    bytes, counted first, one group after the other, each of which passes over the
+    blocks once; groups beyond the first write their result. A pair of blocks is
+    searched by pivots (see search_block) and gives at most k rows a query, which a
+    window with a limit thins before and after its shuffle. Pivots come from a
+    bounded sample and only speed the search.
     """
+    spark = rows.sparkSession
     vectors = materialize(quantize(rows, key, vector, scale), "vectors")
     pivot_ids, table = choose_pivots(vectors, pivots, sample)
-    schema = "width int, ids binary, vectors binary"
-    candidates = vectors.repartition("id").mapInArrow(lambda b: _blocks(b, block), schema)
+    candidates = vectors.repartition("id").mapInArrow(lambda b: _blocks(b, block, table), BLOCK)
     asked = vectors.filter(F.col("id") % every == 0).dropDuplicates(["id"])
-    questions = materialize(asked.mapInArrow(lambda b: _blocks(b, query_block), schema).withColumn("q", F.monotonically_increasing_id()), "queries")
-    size = questions.agg(F.coalesce(F.sum(F.length("vectors") + F.length("ids")), F.lit(0))).first()[0]
-    answer = "query_id long, vec_id long, score long"
-    if size <= small:
-        held = rows.sparkSession.sparkContext.broadcast([(r["width"], bytes(r["ids"]), bytes(r["vectors"])) for r in questions.collect()])
-        found = candidates.mapInArrow(lambda b: _search(b, table, pivot_ids, k, held), answer)
-    else:
-        # every candidate block goes to every query block of its width, by an equality join on numbers:
-        # a query block is repeated once for each lane, so no query block gathers all candidates
-        blocks = materialize(candidates, "blocks")
-        lanes = max(1, -(-blocks.count() // lane))
-        dealt = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-        meets = dealt.join(F.broadcast(questions.select("q", "width")), "width")
-        asked = questions.select("q", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-        asked = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-        found = meets.join(asked, ["q", "lane"]).mapInArrow(lambda b: _search(b, table, pivot_ids, k), answer)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    questions = materialize(asked.mapInArrow(lambda b: _blocks(b, query_block, table), BLOCK).withColumn("q", F.monotonically_increasing_id()), "queries")
+    size = questions.agg(F.coalesce(F.sum(F.length("vectors") + F.length("ids") + F.length("far")), F.lit(0))).first()[0]
+    groups = max(1, -(-size // small)) if small else max(1, questions.count())
+    if groups > 1:
+        candidates = materialize(candidates, "blocks")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    columns = ["query_id", "rank", "vec_id", "score", *(["evaluated"] if report else [])]
+    answers = []
+    for g in range(groups):
+        own = questions.filter(F.pmod(F.xxhash64("q"), F.lit(groups)) == g) if groups > 1 else questions
+        held = spark.sparkContext.broadcast([(r["width"], bytes(r["ids"]), bytes(r["vectors"]), bytes(r["far"])) for r in own.collect()])
+        found = candidates.mapInArrow(lambda b, held=held: _search(b, table, pivot_ids, k, held, report), "query_id long, vec_id long, score long, seen long")
+        if report:
+            found = found.withColumn("evaluated", F.sum("seen").over(Window.partitionBy("query_id")))
+        ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).filter("vec_id is not null").select(*columns)
+        if groups > 1:
+            ranked = materialize(ranked, "answers")
+            held.unpersist()
+        answers.append(ranked)
+    return reduce(DataFrame.unionByName, answers)

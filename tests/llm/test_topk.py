@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import queries as Q
 from lamina.llm.topk import Block, search_block, pivot_distances, top_k
@@ -31,13 +32,13 @@ def test_query(spark, sf):
     assert got(Q.op4_pivot_top_k(spark, sf)) == brute(rows)
 
 
-@pytest.mark.parametrize("small", [0, 1 << 25])
+@pytest.mark.parametrize("small", [600, 1 << 25])
 def test_odd_rows(spark, small):
     rng = random.Random(3)
     rows = [(i, [rng.choice([0.0, 0.25, -0.5, 1e-4]) for _ in range(4)]) for i in range(-200, 400)]
     rows += [(1000, None), (None, [1.0] * 4), (1001, [1.0, None, 1.0, 1.0]), (1100, [float("nan")] * 4), (1002, [float("inf")] * 4), (1200, [1.0, 2.0]), (1201, [3.0, 4.0]), (1300, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert got(top_k(frame, small=small, block=50, query_block=2, lane=2)) == brute(rows)
+    assert got(top_k(frame, small=small, block=50, query_block=2)) == brute(rows)
     assert top_k(frame.limit(0), small=small).count() == 0
 
 
@@ -47,8 +48,30 @@ def test_elimination():
     centres = rng.normal(size=(20, 16)) * 4000
     x = (centres[rng.integers(0, 20, 5000)] + rng.normal(size=(5000, 16)) * 50).astype(np.int64)
     pivots = x[:32].astype(float)
-    block = Block.of(np.arange(5000), x, pivots)
+    block = Block.of(np.arange(5000), x, pivot_distances(x.astype(float), pivots).astype("f4").astype(float))
     q = x[7]
     best, seen = search_block(block, 7, q, pivot_distances(q[None].astype(float), pivots)[0], 10, -np.inf)
     scores = sorted(((int(v), i) for i, v in enumerate(x @ q) if i != 7), key=lambda s: (-s[0], s[1]))[:10]
     assert best == scores and seen < 2500
+
+
+def test_report(spark):
+    """In clusters, most candidates are never evaluated; the report counts those that are."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(25, 12)) * 4
+    x = centres[rng.integers(0, 25, 4000)] + rng.normal(size=(4000, 12)) * 0.05
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "score": F.lit(1), "rank": F.lit(2), "v": F.lit(3)})
+    out = top_k(frame, report=True, block=512)
+    assert got(out.drop("evaluated")) == brute(rows)
+    assert out.agg(F.avg("evaluated")).first()[0] < 0.3 * 4000
+
+
+def test_large_components(spark):
+    rows = [(100, [1e300, 0.0]), (1, [1.0, 2.0]), (2, [-1.0, 5.0]), (3, [1e300, 0.0]), (4, [3e15, 3e15]), (200, [2e15, 1e15])]
+    have = {r[0]: [max(-(2**63), min(2**63 - 1, math.floor(1024 * c))) for c in r[1]] for r in rows}
+    want = set()
+    for q in (100, 200):
+        found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(have[q], v, strict=True)))), i) for i, v in have.items() if i != q)
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(found, 1)}
+    assert got(top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == want
