@@ -7,8 +7,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.llm.common import Scratch, lookup_join, materialize
 from lamina.llm.tokens import chunks, mix, shingles, word_hashes
@@ -79,8 +81,8 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, coordinates: int) -> It
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(node, runs) of every text, in batches of bounded size."""
+def _sets(batches: Iterator[pa.RecordBatch], width: int, wanted: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    """(node, runs) of every text whose node may be among the wanted, in batches of bounded size."""
     for batch in batches:
         pending: list[np.ndarray] = []
         held = 0
@@ -89,26 +91,86 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 pending.append(own)
                 held += len(own)
             if held >= 1 << 18:
-                yield _set_batch(pending)
+                yield _set_batch(pending, wanted)
                 pending, held = [], 0
         if pending:
-            yield _set_batch(pending)
+            yield _set_batch(pending, wanted)
 
 
-def _set_batch(own: list[np.ndarray]) -> pa.RecordBatch:
+def _set_batch(own: list[np.ndarray], wanted: Broadcast | None) -> pa.RecordBatch:
     ends = np.concatenate(([0], np.cumsum([len(x) for x in own])))
     every = np.concatenate(own)
+    nodes = _nodes(every, ends)
     runs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(every.view(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(_nodes(every, ends).view(np.int64)), runs], ["node", "runs"])
+    out = pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), runs], ["node", "runs"])
+    return out if wanted is None else out.filter(pa.array(may_be_in(wanted.value, nodes)))
+
+
+def finder(docs: DataFrame, key: str, text: str) -> Column:
+    """A number that finds a row's text again: its id, if that is a number, or a hash of it; for a null id a hash of the text."""
+    own = F.col(key) if docs.schema[key].dataType == T.LongType() else F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key)))
+    return F.coalesce(own, F.xxhash64(F.col(text)))
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, coordinates: int = COORDINATES) -> DataFrame:
-    """(key, id, n, node, signature) of every row: the size of its shingle set, the set's own hash, and its minima.
+    """(key, id, n, node, signature) of every row: what finds it, its id, the size of its shingle set, the set's own hash, and its minima."""
+    rows = docs.select(finder(docs, key, text).alias("key"), F.col(key).alias("id"), F.col(text).alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.mapInArrow(partial(_sign, width=width, coordinates=coordinates), f"key long, id {kind}, n long, node long, signature array<long>")
+
+
+# ---- which texts are needed again ----------------------------------------------
+
+
+#: A filter has so many bits for a node, up to so many bits in all, in chunks of so many.
+FILTER_BITS, FILTER_MOST, FILTER_CHUNK = 10, 31, 20
+_PROBES = (0, 11, 22, 33)
+
+
+def node_filter(nodes: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of ``n`` nodes, which are hashes already: a bit array of up to 256 MB whatever the input."""
+    bits = min(FILTER_MOST, max(FILTER_CHUNK, (FILTER_BITS * n).bit_length()))
+    places = F.array(*[F.shiftrightunsigned("node", p).bitwiseAND(F.lit((1 << bits) - 1)) for p in _PROBES])
+    each = nodes.select(F.explode(places).alias("place"))
+    each = each.select(F.shiftright("place", FILTER_CHUNK).alias("chunk"), F.col("place").bitwiseAND(F.lit((1 << FILTER_CHUNK) - 1)).cast("int").alias("place")).distinct()
+
+    def chunk(t: pa.Table) -> pa.Table:
+        held = np.zeros(1 << FILTER_CHUNK, bool)
+        held[t.column("place").to_numpy()] = True
+        return pa.table({"chunk": pa.array([t.column("chunk")[0].as_py()], pa.int64()), "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
 
-    ``key`` finds the row's text again: its id, or for a null id a hash of the text.
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (FILTER_CHUNK - 3)
+    for r in each.groupBy("chunk").applyInArrow(chunk, "chunk long, held binary").toLocalIterator():
+        out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["held"], np.uint8)
+    return out
+
+
+def may_be_in(held: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    out = np.ones(len(nodes), bool)
+    for p in _PROBES:
+        at = (nodes >> np.uint64(p)) & np.uint64(8 * len(held) - 1)
+        out &= (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+    return out
+
+
+def active_sets(docs: DataFrame, active: DataFrame, members: DataFrame, key: str, text: str, width: int, limit: int) -> DataFrame:
+    """(node, runs) of the active nodes, from their texts.
+
+    Up to ``limit`` keys are broadcast to the scan. Beyond, all texts are shingled
+    again and sets of other nodes left out by a filter of bounded size, so texts are
+    never shuffled; the few that it lets through fall out by the join that follows.
     """
-    rows = docs.select(F.coalesce(F.col(key), F.xxhash64(F.col(text))).alias("key"), F.col(key).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(partial(_sign, width=width, coordinates=coordinates), "key long, id long, n long, node long, signature array<long>")
+    texts = docs.select(finder(docs, key, text).alias("key"), F.col(text).alias("text"))
+    keys = active.select("key").distinct()
+    held = None
+    if keys.count() <= limit:
+        texts = texts.join(F.broadcast(keys), "key", "left_semi")
+    else:
+        held = docs.sparkSession.sparkContext.broadcast(node_filter(members, members.count()))
+    found = texts.mapInArrow(lambda b: _sets(b, width, held), "node long, runs array<long>")
+    # a key may have several texts: only sets of active nodes stay
+    return found.join(members, "node", "left_semi").dropDuplicates(["node"])
 
 
 def postings(nodes: DataFrame, keep: Keep, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -248,6 +310,7 @@ def near_duplicates(
     rounds: int = 12,
     slack: int = 4,
     short: int = 16,
+    limit: int = 1_000_000,
 ) -> DataFrame:
     """Components of documents whose shingle sets overlap by ``percent`` of their union.
 
@@ -256,7 +319,9 @@ def near_duplicates(
     ``n_shingles`` 0 and link with nothing. Rows with equal sets form one node from
     the start, so copies are never paired; repeated rows and keys are such copies,
     or linked by their texts alone. Rows with a null key take part; their component
-    is the least key that is not null, null if there is none.
+    is the least key that is not null, null if there is none. Keys are of any type
+    that has an order. Texts of any length are taken whole; an empty table gives an
+    empty result; other columns, whatever their names, are not read.
 
     Nodes are posted under the rare part of their signatures' tokens. Instead of
     pairing all nodes of a list, each round pairs a list's nodes with one of them,
@@ -276,11 +341,7 @@ def near_duplicates(
     posted = keep(postings(nodes, keep, coordinates, matches), "postings")
     members = keep(posted.select("node").distinct(), "posted")
     active = keep(nodes.join(members, "node", "left_semi"), "active")
-    texts = docs.select(F.coalesce(F.col(key), F.xxhash64(F.col(text))).alias("key"), F.col(text).alias("text"))
-    wanted = lookup_join(texts, active.select("key").distinct(), ["key"], "left_semi", 1_000_000)
-    # a key may have several texts: only sets of active nodes stay
-    found = wanted.mapInArrow(partial(_sets, width=width), "node long, runs array<long>")
-    sets = keep(found.join(members, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = keep(active_sets(docs, active, members, key, text, width, limit), "sets")
     labels = members.select("node", F.col("node").alias("comp"))
     labels = keep(labels, "components")
     tried, before = None, None
@@ -293,6 +354,8 @@ def near_duplicates(
         rank = -F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "node")
         hub = F.min(F.struct(rank.alias("rank"), "node", "comp", "n", "foreign")).alias("hub")
         lists = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub).filter("low != high").select("token", "hub")
+        # written first: a join of two shuffled tables can split a hot token's rows, one on top of an aggregate can't
+        lists = keep(lists, "lists")
         inside = keep(placed.drop("weight").join(lists, "token"), "inside")
         by = inside.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = keep(by.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")), "main")

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import queries as Q
-from lamina.llm.minhash_join import drop_near_duplicates, near_duplicates
+from lamina.llm.minhash_join import drop_near_duplicates, may_be_in, near_duplicates, node_filter
 from tests.llm import brute
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,3 +67,25 @@ def test_repeated_ids(spark):
     left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = sorted((r.doc_id or 0, (r.text or "-")[:1]) for r in left)
     assert got == [(0, "f"), (1, "a"), (5, "b"), (7, "c"), (7, "d"), (8, "e"), (9, "-")]
+
+
+def test_text_keys(spark, group):
+    frame = spark.createDataFrame([(f"k{k:05}", t) for k, t in group.items()], "doc_id string, text string")
+    want = {f"k{k:05}": (n, f"k{c:05}") for k, (n, c) in brute.components(group).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame, width=4).collect()} == want
+    assert {r.doc_id for r in drop_near_duplicates(frame, width=4).collect()} == {c for _, c in want.values()}
+
+
+def test_filtered_sets(spark, group):
+    """Where the keys are too many to broadcast, a filter finds the sets, with the same result."""
+    others = {k: " ".join(f"u{k}x{i}" for i in range(40)) for k in range(2000, 2300)}
+    frame = spark.createDataFrame(list((group | others).items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame, width=4, limit=0).collect()}
+    assert got == brute.components(group | others)
+
+
+def test_node_filter(spark):
+    rng = np.random.default_rng(4)
+    nodes, others = rng.integers(-(2**63), 2**63, 5000), rng.integers(-(2**63), 2**63, 50_000)
+    held = node_filter(spark.createDataFrame([(int(x),) for x in nodes], "node long"), len(nodes))
+    assert may_be_in(held, nodes.view(np.uint64)).all() and may_be_in(held, others.view(np.uint64)).mean() < 0.05
