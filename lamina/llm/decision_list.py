@@ -217,16 +217,20 @@ def labelled_stats(docs: DataFrame, labels: DataFrame, key: str, quality: str, t
 
 
 def judge_quality(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", max_labelled: int = 20_000
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", max_labelled: int = 20_000, max_rules: int = 8, max_literals: int = 3
 ) -> tuple[DataFrame, list[Rule]]:
     """Every row with its statistics, ``base_failed``, ``rule`` and ``kept``, and the rules.
 
     The rules are learned from at most ``max_labelled`` labelled documents, a bound
-    that also proves the size of what is broadcast (ids and labels). A document is
+    that also proves the size of what is broadcast (ids and labels). There are at most
+    ``max_rules`` rules of at most ``max_literals`` thresholds each. A document is
     kept if the base rule passes and no learned rule rejects it; without labels the
     base rule alone decides. Null or empty texts have no words and are not kept.
-    Null keys and repeated rows are judged like all others.
+    Null keys and repeated rows are judged like all others, texts of any length whole;
+    an empty table gives an empty result. Columns of ``docs`` named like the
+    statistics give way to them.
     """
-    rules = learn_rules(labelled_stats(docs, labels, key, quality, text, max_labelled), "__bad")
+    labelled = materialize(labelled_stats(docs, labels, key, quality, text, max_labelled).select(*FEATURES, "__bad"), "labelled-stats")
+    rules = learn_rules(labelled, "__bad", max_rules=max_rules, max_literals=max_literals)
     judged = text_stats(docs, text).withColumn("base_failed", base_failed()).withColumn("rule", decision_list(rules))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,6 +33,18 @@ def quality(text):
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), r, n < 20 or 100 * r > 30 * n
 
 
+def features(text):
+    n, chars, symbols, dup, repeat, _ = quality(text)
+    w, lines = words(text), max(1, sum(bool(WORD.search(x)) for x in (text or "").split("\n")))
+    upper = sum(unicodedata.category(c) == "Lu" for c in text or "")
+    digits = sum(c in "0123456789" for c in text or "")
+    of_words, of_chars = max(1, n), max(1, chars)
+    return {
+        "n_words": n, "mean_word": chars / of_words, "symbol_share": symbols / of_chars, "upper_share": upper / of_chars, "digit_share": digits / of_chars,
+        "dup_line_share": dup / lines, "repeat_share": repeat / of_words, "distinct_share": len(set(w)) / of_words, "words_per_line": n / lines,
+    }
+
+
 SECRET_KINDS = ["assign", "access", "hex", "opaque"]
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 

@@ -76,6 +76,22 @@ def test_quality_held_out(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / max(1, len(bad)) < 0.3
 
 
+def test_quality_verdicts(spark):
+    """``kept`` and ``rule`` are what the learned list says of statistics counted plainly."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    judged, rules = judge_quality(docs, labels)
+    assert rules and judge_quality(docs, labels, max_rules=1)[1] == rules[:1]
+    hit = Counter()
+    for r in judged.collect():
+        stats = brute.features(r.text)
+        said = next((rule for rule in rules if all((stats[x.feature] > x.threshold) == x.above for x in rule)), None)
+        assert r.rule == (" and ".join(map(str, said)) if said else None)
+        assert r.kept == (not brute.quality(r.text)[5] and said is None)
+        hit[said is None] += 1
+    assert hit[False] and hit[True]
+
+
 def test_quality_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     judged, rules = judge_quality(odd, none)
