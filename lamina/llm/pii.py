@@ -442,13 +442,15 @@ def learn_instances(rows: DataFrame, rounds: int, min_support: int, min_confiden
     fillers' scores, seeds counting 1 and unknown ones 0, over all of them and one
     more. Fillers of confident patterns get 1 - product(1 - confidence). A pattern
     with more fillers than the known ones' scores can make confident is dropped at
-    that number, which changes no verdict and bounds what is written.
+    that number, which changes no verdict and bounds what is written. Rounds end
+    when the pairs of confident patterns and accepted instances are those of the
+    round before, or after ``rounds``.
     """
     spark, pair = rows.sparkSession, "pattern string, instance long"
     texts = rows.select("text")
     touched = materialize(texts.mapInArrow(_look, pair).distinct(), "seeds")
     seeds = materialize(touched.select("instance", F.lit(1.0).alias("score")).distinct(), "scores")
-    scores, held = seeds, None
+    scores, held, last = seeds, None, None
     for turn in range(rounds):
         known = lookup_join(touched, scores, ["instance"]).groupBy("pattern").agg(
             F.sum("score").alias("total"), F.sum((F.col("score") >= min_score).cast("int")).alias("support")
@@ -467,14 +469,17 @@ def learn_instances(rows: DataFrame, rounds: int, min_support: int, min_confiden
         before = scores
         scores = before.join(raised, "instance", "full").select("instance", F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce("now", F.lit(0.0))).alias("score"))
         scores = materialize(scores, "scores")
-        if turn + 1 == rounds:
+        good = scores.filter(F.col("score") >= min_score).select("instance")
+        # counts and order-free sums of hashes tell one set of pairs from another
+        sign = F.struct(F.count(F.lit(1)), *[F.sum(F.shiftright(F.xxhash64(F.lit(k), *c), 16)) for k, c in enumerate((("pattern", "instance"),) * 2)])
+        now = held.join(good, "instance", "left_semi").agg(sign.alias("s")).first()[0]
+        if turn + 1 == rounds or now == last:
             break
+        last = now
         fresh = scores.join(before, "instance", "left_anti").select("instance").toArrow().column(0).to_numpy()
         if len(fresh):
             more = texts.mapInArrow(_touch(spark.sparkContext.broadcast(fresh)), pair).distinct()
             touched = materialize(touched.unionByName(more), "touched")
-        elif scores.join(before, ["instance", "score"], "left_anti").isEmpty():
-            break
     if held is None:
         return spark.createDataFrame([], pair)
     good = scores.filter(F.col("score") >= min_score).join(seeds, "instance", "left_anti").select("instance")
@@ -482,15 +487,16 @@ def learn_instances(rows: DataFrame, rounds: int, min_support: int, min_confiden
 
 
 def extract_pii(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 3, min_support: int = 3, min_confidence: float = 0.6, min_score: float = 0.75
+    docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 10, min_support: int = 3, min_confidence: float = 0.6, min_score: float = 0.75
 ) -> DataFrame:
     """Every row's key, its ``base`` spans and ``more``: identifiers that strong contexts discover.
 
     Spans are (start, rank, kind, end) in code points, sorted. Base spans seed the
     bootstrapping; whatever word, or run of words, fills a slot beside a base span
     is a candidate, of any shape. Null or empty texts have no spans; repeated rows
-    and null keys keep rows and spans of their own; an empty table gives an empty
-    result. Texts are read once for the seeds, once or twice a round and once for the
+    and null keys keep rows and spans of their own; texts of any length are read
+    whole; an empty table gives an empty result; other columns, whatever their names,
+    are not read. Texts are read once for the seeds, once or twice a round and once for the
     result; the patterns that a round counts and the accepted pairs go to every worker.
     """
     kind = docs.schema[key].dataType

@@ -4,6 +4,8 @@ import hashlib
 import re
 import unicodedata
 
+from lamina.llm.pii import MAX_WORDS, Places, base_spans, joined, pattern_names, positions, sides, units
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -130,3 +132,66 @@ def pii(text):
         if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
             out.append(("phone", m.start(), m.end()))
     return out
+
+
+def bootstrap(texts, rounds=10, min_support=3, min_confidence=0.6, min_score=0.75):
+    """(text number, start, end) of what patterns discover, with dictionaries over all slots of all texts."""
+    read = []
+    fillers, around = {}, {}  # pattern -> what fills it, instance -> patterns it stands in
+    for n, text in enumerate(texts):
+        base = base_spans(text or "")
+        tokens = Places().tokens(text or "", base)
+        ends = units(tokens)
+        begins = {e: b for b, e in enumerate(ends) if e > b}
+        name = lambda i, j, t=tokens: " ".join(x.core for x in t[i : j + 1]).lower()
+        slots, shortest = [], set()
+        for i, t in enumerate(tokens):
+            if not t.core:
+                continue
+            j = i
+            while True:
+                made = {p[0]: p for p in pattern_names(*sides(tokens, i, j))}
+                kinds = "3" + ("12" if j == ends[i] else "") + ("45" if i == begins.get(j, j) else "")
+                for k in kinds:
+                    if k in made:
+                        around.setdefault(name(i, j), set()).add(made[k])
+                        if k != "3" or (made[k], i) not in shortest:
+                            shortest.add((made[k], i))
+                            slots.append((made[k], i, j))
+                            fillers.setdefault(made[k], set()).add(name(i, j))
+                if j + 1 - i >= MAX_WORDS or not joined(tokens, j):
+                    break
+                j += 1
+        read.append((tokens, slots, positions(text or "", base), name))
+    seeds = {name(i, i) for tokens, _, _, name in read for i, t in enumerate(tokens) if t.shape == 3}
+    score = {s: 1.0 for s in seeds}
+    touched = {(p, s) for s in seeds for p in around[s]}
+    strong, last = {}, None
+    for _ in range(rounds):
+        by = {}
+        for p, s in touched:
+            by.setdefault(p, set()).add(s)
+        wanted = [p for p, known in by.items() if sum(score[s] >= min_score for s in known) >= min_support]
+        confidence = {p: sum(score.get(x, 0) for x in fillers[p]) / (len(fillers[p]) + 1) for p in wanted}
+        strong = {p: c for p, c in confidence.items() if c >= min_confidence}
+        miss = {}
+        for p, c in strong.items():
+            for x in fillers[p]:
+                miss[x] = miss.get(x, 1.0) * (1 - c)
+        fresh = {x for x in miss if x not in score}
+        for x, m in miss.items():
+            score[x] = max(score.get(x, 0), 1 - m)
+        touched |= {(p, x) for x in fresh for p in around[x]}
+        pairs = {(p, x) for p in strong for x in fillers[p] if score[x] >= min_score}
+        if pairs == last:
+            break
+        last = pairs
+    out = set()
+    for n, (tokens, slots, at, name) in enumerate(read):
+        hits = {(at[i][0], at[j][1]) for p, i, j in slots if p in strong and tokens[i].shape != 3 and name(i, j) not in seeds and score[name(i, j)] >= min_score}
+        end = -1
+        for a, b in sorted(hits, key=lambda s: (s[0], -s[1])):
+            if b > end:
+                out.add((n, a, b))
+                end = b
+    return out

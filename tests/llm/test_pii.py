@@ -1,5 +1,7 @@
 """Personal data against the plain expressions, and what bootstrapping adds."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -68,3 +70,19 @@ def test_sides(spark):
     assert found(rows) == {100: ["C4F7K"], 101: ["C4F7L"], 501: ["A88888"], 701: ["A12345"]}
     starts = [(i, f"user{i}@mail.example.net begins{i} it{i}") for i in range(8)] + [(300, "C4F7M opens this")]
     assert found(starts) == {300: ["C4F7M"]}
+
+
+def test_bootstrapping_is_brute_force(spark):
+    """The discovered spans against a plain version of the whole bootstrapping, on documents and on made ones where it takes several rounds."""
+    rng = random.Random(9)
+    made = [f"mail user{i}@mail.example.com or call {rng.choice(['desk', 'home'])} now" for i in range(12)]
+    made += [f"mail ref-{i}x or call desk now and badge ref-{i}x please" for i in range(6)]
+    made += [f"so badge {w} please go" for w in ("alpha7", "beta8", "ref-1x")] + ["badge ref-2x please and room alpha7 here", "room beta8 here", "room nobody here", None, ""]
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found = []
+    for texts in (made, docs + made):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {(r.doc_id, s.start, s.end) for r in extract_pii(frame).collect() for s in r.more}
+        assert got == brute.bootstrap(texts)
+        found.append(len(got))
+    assert found[0] > 6
