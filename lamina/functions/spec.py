@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.functions import types
+from lamina.functions import sizes, types
 
 #: What compressed columns use if nothing else is said.
 COMPRESSION = {"cname": "zstd", "clevel": 5, "shuffle": "bitshuffle"}
@@ -21,7 +21,7 @@ class ColumnSpec:
     """Name, type code, and how a column is compressed and filled.
 
     Compression and chunk size are kept for all columns; Parquet files have one
-    codec (zstd) for the table, so they are advice.
+    codec, level and size of row groups for the table (see TableSpec.write_options).
     """
 
     name: str
@@ -136,5 +136,25 @@ class TableSpec(Mapping):
             out.add_column(ColumnSpec(field.name, types.code_of(field.dataType), own, chunk if own else None))
         return out
 
+    def write_options(self) -> dict[str, str]:
+        """How Parquet files of the table are written: the strongest codec and level that a column asks for (zstd if none does), row groups as large as the largest chunk for all columns, a megabyte at least."""
+        asked = [c for c in self._columns.values() if c.compression]
+        # Codecs by their names in specifications, weakest first
+        codecs = {"blosclz": "snappy", "snappy": "snappy", "lz4": "lz4_raw", "lz4hc": "lz4_raw", "zlib": "gzip", "zstd": "zstd"}
+        names = [str(c.compression["cname"]) for c in asked]
+        if wrong := [n for n in names if n not in codecs]:
+            raise ValueError(f"unknown codecs {wrong}, there are {list(codecs)}")
+        codec = codecs[max(names, key=list(codecs).index)] if names else "zstd"
+        out = {"compression": codec}
+        levels = [int(c.compression["clevel"]) for c in asked if codecs[str(c.compression["cname"])] == codec]
+        if codec == "zstd" and levels:
+            out["parquet.compression.codec.zstd.level"] = str(min(22, max(1, *levels, 1)))
+        sized = [c for c in asked if c.chunksize is not None]
+        if sized:
+            row = sum(types.width_bytes(c.dtype) for c in self._columns.values())
+            rows = max(sizes.chunk_rows(c.chunksize, types.width_bytes(c.dtype)) for c in sized)
+            out["parquet.block.size"] = str(max(1 << 20, min(1 << 30, rows * row)))
+        return out
+
     def to_struct_type(self) -> T.StructType:
         return T.StructType([T.StructField(c.name, c.spark_type, True, {k: v for k, v in c.to_json().items() if k not in ("name",) and v is not None}) for c in self._columns.values()])

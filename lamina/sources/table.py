@@ -15,6 +15,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from lamina.sources.files import Files
 from lamina.sources.meta import MetaSet
 
 SUFFIX = ".table"
+#: A file's name beside its rows.
+FILE = "_file"
 
 
 def number_rows(df: DataFrame, path: str, first: int = 0) -> DataFrame:
@@ -67,6 +70,7 @@ class ColumnRef(Predicates):
     index_size_gb = property(lambda self: self.index_size_bytes / 1024**3)
     index_dtype = property(lambda self: [("value", self.dtype), ("row", "i8")])
     filenames = property(lambda self: self.table.filenames)
+    index_filenames = property(lambda self: self.table.index_filenames(self.name))
 
     def read(self, rows: object = None) -> DataFrame:
         return self.table.read(self.name, rows)
@@ -80,6 +84,18 @@ class ColumnRef(Predicates):
     def __setitem__(self, rows: object, values: object) -> None:
         self.table.set(self.name, rows, values)
 
+    def read_into(self, buffer: object, rows: object = None) -> None:
+        self.table.read_into(self.name, buffer, rows)
+
+    def read_slice_into(self, rows: slice, buffer: object) -> None:
+        self.table.read_into(self.name, buffer, rows)
+
+    def read_rows_into(self, rows: Sequence[int], buffer: object) -> None:
+        self.table.read_into(self.name, buffer, list(rows))
+
+    def read_row_into(self, row: int, buffer: object) -> None:
+        self.table.read_into(self.name, buffer, [row])
+
     def create_index(self, overwrite: bool = False) -> None:
         self.table.create_index(self.name, overwrite)
 
@@ -256,16 +272,17 @@ class Table(Mapping):
 
     # ---- reads
 
-    def frame(self, files: list[dict] | None = None) -> DataFrame:
-        """All rows with their positions, lazily; columns that files lack hold their fill value."""
+    def frame(self, files: list[dict] | None = None, with_file: bool = False) -> DataFrame:
+        """All rows with their positions, lazily; columns that files lack hold their fill value. ``with_file`` adds the file's name."""
         files = self._state["files"] if files is None else files
         columns = self._state["columns"]
         spec = self.spec
         schema = T.StructType([T.StructField(ROWID, T.LongType()), *(T.StructField(c["physical"], spec[c["name"]].spark_type) for c in columns)])
         if files:
             raw = self.spark.read.schema(schema).parquet(*[self.files.at(p) for p in _paths(files)])
+            name = F.col("_metadata.file_name").alias(FILE)
         else:
-            raw = self.spark.createDataFrame([], schema)
+            raw, name = self.spark.createDataFrame([], schema), F.lit("").alias(FILE)
         oldest = min((f["version"] for f in files), default=0)
         out = [F.col(ROWID)]
         for c in columns:
@@ -273,7 +290,7 @@ class Table(Mapping):
             if c["since"] > oldest and spec[c["name"]].fill is not None:
                 own = F.coalesce(own, spec[c["name"]].fill_column())
             out.append(own.alias(c["name"]))
-        return raw.select(*out)
+        return raw.select(*out, *([name] if with_file else []))
 
     df = property(lambda self: self.frame())
 
@@ -306,7 +323,7 @@ class Table(Mapping):
         return {n: table.column(n).to_numpy() for n in table.column_names}
 
     def read_into(self, column: str, buffer: object, rows: object = None) -> None:
-        """Fill a one-dimensional array with a column's values; its length and kind must fit."""
+        """Fill a one-dimensional array with a column's values in rows: None for all, a slice, a position, a list of positions or a RowSet. Its length and kind must fit."""
         got = self.to_arrays(self.read(column, rows))[column]
         if getattr(buffer, "ndim", 0) != 1:
             raise ValueError("the buffer must have one dimension")
@@ -329,7 +346,7 @@ class Table(Mapping):
         name = f"data/v{version:010d}-{uuid.uuid4().hex}"
         out = rows.select(ROWID, *[F.col(c["name"]).alias(c["physical"]) for c in columns])
         try:
-            out.repartitionByRange(ROWID).sortWithinPartitions(ROWID).write.option("compression", "zstd").parquet(self.files.at(name))
+            out.repartitionByRange(ROWID).sortWithinPartitions(ROWID).write.options(**self.spec.write_options()).parquet(self.files.at(name))
         except PySparkException as e:
             self.files.delete(name)
             raise _as_value_error(e) from e
@@ -345,8 +362,11 @@ class Table(Mapping):
             self.files.delete(self._staged)
             raise _as_value_error(e) from e
 
-    def append(self, data: object, verify: bool = True) -> None:
-        """Add rows; positions go on from the last. The names must be the table's, in any order; values are cast to its types."""
+    def append(self, data: object, verify: bool = True, batch: tuple[str, int] | None = None) -> None:
+        """Add rows; positions go on from the last. The names must be the table's, in any order; values are cast to its types, and missing ones become the column's fill value.
+
+        ``batch``, a stream's name and a number, is kept in the same manifest (see last_batch).
+        """
         self.check_writable("append")
         df = self.to_frame(data)
         names = [c for c in df.columns if c != ROWID]
@@ -355,9 +375,14 @@ class Table(Mapping):
         numbered = self._number(df.select(*[c.coerce(F.col(c.name)).alias(c.name) for c in self.spec.values()]), self.nrows)
         files = self._write(numbered)
         self.files.delete(self._staged)
-        self._commit(files=[*self._state["files"], *files], nrows=self.nrows + sum(f["n"] for f in files))
+        seen = {"streams": {**self._state.get("streams", {}), batch[0]: batch[1]}} if batch else {}
+        self._commit(files=[*self._state["files"], *files], nrows=self.nrows + sum(f["n"] for f in files), **seen)
         if verify:
-            self.verify()
+            self._check_ranges()
+
+    def last_batch(self, name: str) -> int:
+        """The number of the last batch that a stream appended, -1 if there is none."""
+        return self._state.get("streams", {}).get(name, -1)
 
     def to_frame(self, data: object) -> DataFrame:
         """A frame from a frame, a dict of equal columns, a NumPy structured array, or a pandas or Arrow table."""
@@ -398,8 +423,11 @@ class Table(Mapping):
 
             ordered = sorted(rows)
             return [f for f in files if (k := bisect.bisect_left(ordered, f["low"])) < len(ordered) and ordered[k] <= f["high"]]
-        low, high = rows.minmax()
-        return [f for f in files if low is not None and f["low"] <= high and f["high"] >= low]
+        # a name for each file that holds a hit, whatever lies between the hits
+        placed = self.frame(files, with_file=True)
+        hit = placed.filter(rows.expr) if rows.expr is not None else placed.select(ROWID, FILE).join(rows.df(), ROWID, "left_semi")
+        found = {r[0] for r in hit.select(FILE).distinct().collect()}
+        return [f for f in files if f["path"].rpartition("/")[2] in found]
 
     def set(self, column: str, rows: object, values: object) -> None:
         """Set a column's values in rows: one value for all, or one each.
@@ -492,7 +520,22 @@ class Table(Mapping):
         self._commit(files=kept, nrows=nrows)
 
     def verify(self) -> None:
-        """The files' ranges must cover all positions once."""
+        """The files' ranges must cover all positions once, and the files must be there with the rows and positions that the manifest says."""
+        self._check_ranges()
+        files = self._state["files"]
+        if not files:
+            return
+        try:
+            read = self.spark.read.schema(f"{ROWID} long").parquet(*[self.files.at(f["path"]) for f in files])
+            by_file = read.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(ROWID).alias("low"), F.max(ROWID).alias("high"), F.count(F.lit(1)).alias("n"))
+            found = {r["file"]: (r["low"], r["high"], r["n"]) for r in by_file.collect()}
+        except (PySparkException, Py4JJavaError) as e:
+            raise ValueError(f"files of {self.path} are lost or damaged: {str(e).splitlines()[0]}") from e
+        for f in files:
+            if found.get(name := f["path"].rpartition("/")[2]) != (f["low"], f["high"], f["n"]):
+                raise ValueError(f"{name} of {self.path} holds {found.get(name)}, the manifest says {(f['low'], f['high'], f['n'])}")
+
+    def _check_ranges(self) -> None:
         at = 0
         for f in sorted(self._state["files"], key=lambda f: f["low"]):
             if f["low"] != at or f["high"] - f["low"] + 1 != f["n"]:
@@ -592,6 +635,13 @@ class Table(Mapping):
     def index_size_bytes(self, column: str) -> int:
         return self.files.size(self._state["indexes"][column]["path"]) if self.has_index(column) else 0
 
+    def index_filenames(self, column: str) -> list[str]:
+        """The files of a column's index, none without one."""
+        if not self.has_index(column):
+            return []
+        path = self._state["indexes"][column]["path"]
+        return [self.files.at(f"{path}/{n}") for n in self.files.names(path) if n.endswith(".parquet")]
+
     # ---- namespace
 
     def create_table(self, schema: TableSpec | None = None, name: str | None = None, yes: bool = False) -> Table:
@@ -631,7 +681,10 @@ class Table(Mapping):
         if name in set(self.meta):
             raise ValueError(f"metadata {name!r} exists")
         self.files.mkdirs("meta")
-        self.files.write_json(f"meta/{name}.json", {} if data is None else data)
+        try:
+            self.files.write_json(f"meta/{name}.json", {} if data is None else data, replace=False)
+        except FileExistsError as e:
+            raise ValueError(f"metadata {name!r} exists") from e
 
     def delete_meta(self, name: str, yes: bool = False) -> None:
         self.check_writable("delete metadata")
@@ -672,7 +725,7 @@ class Table(Mapping):
         self._load()
         self._children.clear()
         self.spark.catalog.refreshByPath(self.path)
-        self.verify()
+        self._check_ranges()
 
     def register(self, view: str) -> None:
         """A temporary view of the table's columns, for SQL."""

@@ -1,6 +1,9 @@
 """Stores: creation, reads, updates, indexes, versions, namespace, metadata, errors."""
 
 import json
+import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -11,8 +14,10 @@ from pyspark.sql import functions as F
 from lamina import ColumnSpec, RowSet, Store, TableSpec
 from lamina.functions import sizes, types
 from lamina.operators.rows import slice_bounds
+from lamina.sources.files import Files
+from lamina.sources.fits import FitsSource
 from lamina.sources.ingest import from_file, from_fits
-from lamina.streaming import append_stream
+from lamina.streaming import append_stream, batch_writer
 
 N = 20
 
@@ -487,3 +492,143 @@ def test_match_lists_alike(spark, tmp_path):
     store = Store.create_from_array(spark, f"{tmp_path}/u", data())
     store["rand"][store["id"].match(range(-20_000, 3))] = 9.0
     assert store["rand"][0:3].toPandas()["rand"].tolist() == [9.0] * 3 and (store["rand"] == 9.0).count() == 3
+
+
+def test_writers_at_once(spark, tmp_path):
+    """Of many writers of one manifest, one wins; a document that is replaced is always there."""
+    files = Files(spark, f"{tmp_path}/f")
+    files.mkdirs("manifest")
+    won = []
+
+    def write(k):
+        try:
+            Files(spark, f"{tmp_path}/f").write_json("manifest/1.json", {"k": k}, replace=False)
+            won.append(k)
+        except FileExistsError:
+            pass
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(write, range(24)))
+    assert len(won) == 1 and files.read_json("manifest/1.json") == {"k": won[0]}
+    files.write_json("doc.json", {"n": -1})
+    done = threading.Event()
+    seen = []
+
+    def read():
+        while not done.is_set():
+            seen.append(files.read_json("doc.json")["n"])
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in range(60):
+        files.write_json("doc.json", {"n": n})
+    done.set()
+    reader.join()
+    assert seen == sorted(seen) and files.names() == ["doc.json", "manifest"]
+
+
+def test_batches_once(spark, tmp_path, monkeypatch):
+    """A batch and its number are committed together, so one that runs again after a failure anywhere is there once."""
+    t = Store.create(spark, f"{tmp_path}/t").create_table(TableSpec([ColumnSpec("a", "i8")]))
+    add, batch = batch_writer(t, "s"), spark.range(3).select(F.col("id").alias("a"))
+    plain = Files.write_json
+
+    def broken(self, name, *args, **kwargs):
+        raise OSError("lost")
+
+    monkeypatch.setattr(Files, "write_json", broken)
+    with pytest.raises(OSError):
+        add(batch, 0)
+    monkeypatch.setattr(Files, "write_json", plain)
+    for number in (0, 0, 1, 1, 0):
+        add(batch, number)
+    again = Store.open(spark, t.path)
+    assert again.nrows == 6 and again.last_batch("s") == 1 and again.last_batch("other") == -1
+
+
+def test_verify_reads_files(spark, tmp_path):
+    t = Store.create_from_array(spark, f"{tmp_path}/v", data())
+    t.verify()
+    path = t.filenames[0].removeprefix("file://")
+    kept = open(path, "rb").read()
+    os.remove(path)
+    with pytest.raises(ValueError):
+        t.verify()
+    with open(path, "wb") as f:
+        f.write(kept[: len(kept) // 2])
+    with pytest.raises(ValueError):
+        t.verify()
+
+
+def test_update_by_predicate_touches_few_files(spark, tmp_path):
+    """Hits at both ends rewrite the files that hold them, not those between."""
+    t = Store.create_from_dataframe(spark, f"{tmp_path}/u", spark.range(0, 40_000, numPartitions=8).select("id", (F.col("id") * 0).alias("v")))
+    t.append(spark.range(40_000, 80_000, numPartitions=4).select("id", (F.col("id") * 0).alias("v")))
+    before = set(t.filenames)
+    assert len(before) > 1
+    ends = (t["id"] == 3) | (t["id"] == 79_990)
+    low = [f for f in t._state["files"] if f["low"] <= 3 <= f["high"] or f["low"] <= 79_990 <= f["high"]]
+    t["v"][ends] = 7
+    assert len(before - set(t.filenames)) == len(low) and t["v"][3] == 7 and t["v"][79_990] == 7 and (t["v"] == 7).count() == 2
+    t["v"][(t["id"] == 5).materialized()] = 8
+    assert (t["v"] == 8).ids() == [5]
+    t["v"][t["id"] < 0] = 9
+    assert (t["v"] == 9).count() == 0
+
+
+def test_codecs(spark, tmp_path):
+    lz4 = {"cname": "lz4", "clevel": 3}
+    spec = TableSpec([ColumnSpec("a", "i8", compression=lz4, chunksize="4m"), ColumnSpec("b", "f8")])
+    assert spec.write_options() == {"compression": "lz4_raw", "parquet.block.size": str((4 << 20))}
+    assert TableSpec([ColumnSpec("a", "i8", compression=True)]).write_options()["parquet.compression.codec.zstd.level"] == "5"
+    assert TableSpec([ColumnSpec("a", "i8")]).write_options() == {"compression": "zstd"}
+    with pytest.raises(ValueError):
+        TableSpec([ColumnSpec("a", "i8", compression={"cname": "none such"})]).write_options()
+    t = Store.create(spark, f"{tmp_path}/c").create_table(spec)
+    t.append({"a": [1, 2], "b": [0.5, 1.5]})
+    assert all("lz4" in f for f in t.filenames) and values(t, "a") == [1, 2]
+
+
+def test_read_into_rows(store):
+    for call, n in ((lambda b: store["id"].read_slice_into(slice(2, 5), b), 3), (lambda b: store["id"].read_rows_into([4, 2], b), 2), (lambda b: store["id"].read_row_into(7, b), 1)):
+        buffer = np.zeros(n, "i8")
+        call(buffer)
+        assert buffer.tolist() in ([2, 3, 4], [4, 2], [7])
+        with pytest.raises(ValueError):
+            call(np.zeros(n + 1, "i8"))
+
+
+def test_index_filenames(store):
+    assert store["id"].index_filenames == []
+    store["id"].create_index()
+    assert store["id"].index_filenames and all(f.endswith(".parquet") for f in store["id"].index_filenames)
+
+
+def fits_table(columns, rows):
+    """A file with one table; columns are (name, form, NumPy kind, more cards)."""
+    block = lambda cards: "".join(c.ljust(80) for c in [*cards, "END"]).encode()
+    pad = lambda b: b.ljust(-(-len(b) // 2880) * 2880, b" ")
+    first = pad(block(["SIMPLE  =                    T", "BITPIX  =                    8", "NAXIS   =                    0"]))
+    kinds = np.dtype([(n, k) for n, _, k, _ in columns])
+    body = np.array(rows, kinds).tobytes()
+    cards = ["XTENSION= 'BINTABLE'", "BITPIX  = 8", "NAXIS   = 2", f"NAXIS1  = {kinds.itemsize}", f"NAXIS2  = {len(rows)}", "PCOUNT  = 0", "GCOUNT  = 1", f"TFIELDS = {len(columns)}"]
+    for k, (name, form, _, more) in enumerate(columns, 1):
+        cards += [f"TTYPE{k}  = '{name}'", f"TFORM{k}  = '{form}'", *(f"{c}{k}".ljust(8) + f"= {v}" for c, v in more.items())]
+    return first + pad(block(cards)) + body.ljust(-(-len(body) // 2880) * 2880, b"\0")
+
+
+def test_fits_numbers(spark, tmp_path):
+    """Unsigned and scaled numbers, missing ones, and arrays; also by URI."""
+    big = 1 << 63
+    columns = [
+        ("u2", "I", ">i2", {"TZERO": 32768}), ("u4", "J", ">i4", {"TZERO": 2147483648}), ("u8", "K", ">i8", {"TZERO": big}), ("i1", "B", "u1", {"TZERO": -128}),
+        ("scaled", "I", ">i2", {"TSCAL": 0.5, "TZERO": "1.0D1"}), ("gone", "J", ">i4", {"TNULL": -99}), ("vec", "3E", (">f4", (3,)), {}), ("ints", "2I", (">i2", (2,)), {"TZERO": 32768}),
+    ]
+    rows = [(40000 - 32768, -1, -1, 0, 4, -99, (1, 2, 3), (-32768, 32767)), (-32768, -(1 << 31), -big, 255, -20, 5, (0, 0.5, -1), (0, 1))]
+    (tmp_path / "b.fits").write_bytes(fits_table(columns, rows))
+    spark.dataSource.register(FitsSource)
+    for path in (f"{tmp_path}/b.fits", f"file://{tmp_path}/b.fits"):
+        got = sorted(tuple(r) for r in spark.read.format("fits").load(path).collect())
+        assert got == [(0, 0, 0, 127, 0.0, 5, [0.0, 0.5, -1.0], [32768, 32769]), (40000, (1 << 31) - 1, big - 1, -128, 12.0, None, [1.0, 2.0, 3.0], [0, 65535])]
+    t = from_fits(spark, f"{tmp_path}/out", f"{tmp_path}/b.fits")
+    assert sorted(values(t, "u2")) == [0, 40000] and t["vec"][0] in ([1.0, 2.0, 3.0], [0.0, 0.5, -1.0])
