@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,16 +42,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Whether Spark removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files: what they write or collect is all that is read of them."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    with freed_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage so that a lost executor costs a reread, and lets later steps
-    prune columns. The schema is given, so that an empty result reads back as empty.
+    Cuts the lineage so that a lost executor costs a reread, lets later steps
+    prune columns, and frees the shuffle files behind it. The schema is given, so that an empty result reads back as empty.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, shared_path(df.sparkSession, name))
 
 
 class Scratch:
@@ -57,15 +77,34 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self._spark, self._path = spark, shared_path(spark, name)
+        self._kept: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """As materialize, below the scratch folder."""
         path = f"{self._path}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self._spark.read.schema(df.schema).parquet(path)
+        out = _write(df, path)
+        self._kept.append((out, path))
+        return out
+
+    def mark(self) -> int:
+        """How many tables there are, for ``free_since``."""
+        return len(self._kept)
+
+    def free(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing to come reads."""
+        for _, path in [x for x in self._kept if any(x[0] is t for t in tables)]:
+            self._delete(path)
+        self._kept = [x for x in self._kept if not any(x[0] is t for t in tables)]
+
+    def free_since(self, mark: int, *still: DataFrame) -> None:
+        """Remove the tables kept after a mark, but for those that are needed still."""
+        self.free(*[t for t, _ in self._kept[mark:] if not any(t is s for s in still)])
 
     def remove(self) -> None:
-        hadoop = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path)
+        self._delete(self._path)
+
+    def _delete(self, path: str) -> None:
+        hadoop = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 

@@ -334,18 +334,25 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession, "near")
     keep = scratch.keep
-    rows = keep(signatures(docs, key, text, width, coordinates), "signatures")
-    full = rows.filter("n > 0")
-    nodes = full.groupBy("node").agg(F.min("key").alias("key"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    nodes = keep(nodes, "nodes")
-    posted = keep(postings(nodes, keep, coordinates, matches), "postings")
+    # tables with signatures are the largest, and go as soon as smaller ones have what is needed of them
+    signed = keep(signatures(docs, key, text, width, coordinates), "signatures")
+    grouped = signed.filter("n > 0").groupBy("node")
+    whole = keep(grouped.agg(F.min("key").alias("key"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
+    rows = keep(signed.select("id", "n", "node"), "rows")
+    scratch.free(signed)
+    mark = scratch.mark()
+    posted = keep(postings(whole, keep, coordinates, matches), "postings")
+    scratch.free_since(mark, posted)
     members = keep(posted.select("node").distinct(), "posted")
-    active = keep(nodes.join(members, "node", "left_semi"), "active")
+    active = keep(whole.join(members, "node", "left_semi"), "active")
+    nodes = keep(whole.select("node", "least"), "least")
+    scratch.free(whole)
     sets = keep(active_sets(docs, active, members, key, text, width, limit), "sets")
     labels = members.select("node", F.col("node").alias("comp"))
     labels = keep(labels, "components")
     tried, before = None, None
     for turn in range(rounds):
+        mark = scratch.mark()
         # what is out stays out: components only grow
         alive = keep(still_open(sets, labels, percent), "alive")
         sets, posted = sets.join(alive, "node", "left_semi"), posted.join(alive, "node", "left_semi")
@@ -394,6 +401,7 @@ def near_duplicates(
         labels = merge_components(labels, links, keep)
         if last:
             break
+        scratch.free_since(mark, alive, pairs, labels)
     least = labels.join(active.select("node", "least"), "node")
     names = least.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = least.join(names, "comp").select("node", "component_id")

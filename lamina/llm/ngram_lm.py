@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.arrays import by_value, load, narrow, save, squeeze, unsqueeze, widen
-from lamina.llm.common import materialize, shared_path
+from lamina.llm.common import freed_shuffles, materialize, shared_path
 from lamina.llm.tokens import chunks, mix, word_hashes
 
 #: The hash of a text's end, which is a token; no word's bytes hash to it but by chance.
@@ -440,7 +440,9 @@ def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
         blocks = blocks.groupBy("bucket").applyInArrow(_merger(model, level), BLOCK)
     there = {0: model.there[0]} | {k: np.zeros(model.files + 1, bool) for k in range(1, order + 1)}
     of = {k: np.zeros(6, np.int64) for k in range(1, order + 1)}
-    for r in blocks.collect():
+    with freed_shuffles(spark):
+        summaries = blocks.collect()
+    for r in summaries:
         level, bucket, *numbers = np.frombuffer(r["data"], np.int64).tolist()
         there[level][bucket] = True
         of[level] += numbers
