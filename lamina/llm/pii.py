@@ -442,7 +442,8 @@ def learn_instances(rows: DataFrame, rounds: int, min_support: int, min_confiden
     fillers' scores, seeds counting 1 and unknown ones 0, over all of them and one
     more. Fillers of confident patterns get 1 - product(1 - confidence). A pattern
     with more fillers than the known ones' scores can make confident is dropped at
-    that number, which changes no verdict and bounds what is written. Rounds end
+    that number, which changes no verdict and bounds what is written; the others'
+    fillers are kept, so a round looks for those of new patterns only. Rounds end
     when the pairs of confident patterns and accepted instances are those of the
     round before, or after ``rounds``.
     """
@@ -450,7 +451,9 @@ def learn_instances(rows: DataFrame, rounds: int, min_support: int, min_confiden
     texts = rows.select("text")
     touched = materialize(texts.mapInArrow(_look, pair).distinct(), "seeds")
     seeds = materialize(touched.select("instance", F.lit(1.0).alias("score")).distinct(), "scores")
-    scores, held, last = seeds, None, None
+    scores, held, last, fillers = seeds, None, None, None
+    whole: set[str] = set()
+    weak: dict[str, int] = {}
     for turn in range(rounds):
         known = lookup_join(touched, scores, ["instance"]).groupBy("pattern").agg(
             F.sum("score").alias("total"), F.sum((F.col("score") >= min_score).cast("int")).alias("support")
@@ -459,12 +462,22 @@ def learn_instances(rows: DataFrame, rounds: int, min_support: int, min_confiden
         wanted = known.select("pattern", F.floor(F.col("total") / min_confidence - 1 + 1e-9).cast("long").alias("cap")).toArrow()
         if not wanted.num_rows:
             break
-        found = materialize(texts.mapInArrow(_count(spark.sparkContext.broadcast(wanted)), pair).distinct(), "fillers")
-        each = found.join(scores, "instance", "left").groupBy("pattern").agg(
-            (F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("instance") + 1)).alias("confidence"), F.max(F.col("instance").isNull()).alias("over")
-        )
-        strong = materialize(each.filter(~F.col("over") & (F.col("confidence") >= min_confidence)).select("pattern", "confidence"), "patterns")
-        held = materialize(lookup_join(found, strong, ["pattern"], "inner"), "held")
+        # what fills a pattern is counted once; again only where the known ones' scores now allow more than made it too weak
+        todo = wanted.filter(pa.array([p not in whole and cap > weak.get(p, -1) for p, cap in zip(wanted["pattern"].to_pylist(), wanted["cap"].to_pylist())], pa.bool_()))
+        if todo.num_rows:
+            found = materialize(texts.mapInArrow(_count(spark.sparkContext.broadcast(todo)), pair).distinct(), "fillers")
+            over = {r[0] for r in found.filter("instance is null").select("pattern").distinct().collect()}
+            for p, cap in zip(todo["pattern"].to_pylist(), todo["cap"].to_pylist()):
+                if p in over:
+                    weak[p] = cap
+                else:
+                    whole.add(p)
+            nulls = found.filter("instance is null").select("pattern").distinct()
+            counted = materialize(found.join(nulls, "pattern", "left_anti"), "whole")
+            fillers = counted if fillers is None else fillers.unionByName(counted)
+        each = fillers.join(scores, "instance", "left").groupBy("pattern").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("instance") + 1)).alias("confidence"))
+        strong = materialize(each.filter(F.col("confidence") >= min_confidence), "patterns")
+        held = materialize(lookup_join(fillers, strong, ["pattern"], "inner"), "held")
         raised = held.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("now"))
         before = scores
         scores = before.join(raised, "instance", "full").select("instance", F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce("now", F.lit(0.0))).alias("score"))
@@ -480,6 +493,8 @@ def learn_instances(rows: DataFrame, rounds: int, min_support: int, min_confiden
         if len(fresh):
             more = texts.mapInArrow(_touch(spark.sparkContext.broadcast(fresh)), pair).distinct()
             touched = materialize(touched.unionByName(more), "touched")
+        elif scores.join(before, ["instance", "score"], "left_anti").isEmpty():
+            break
     if held is None:
         return spark.createDataFrame([], pair)
     good = scores.filter(F.col("score") >= min_score).join(seeds, "instance", "left_anti").select("instance")
