@@ -298,7 +298,7 @@ def _reopened(t: Table) -> DataFrame:
     return Store.open(t.spark, t.path)[:]
 
 
-_add("open_store", "SELECT * FROM supplier", _stored("supplier", _reopened))
+_add("store_opened", "SELECT * FROM supplier", _stored("supplier", _reopened))
 
 
 def _as_dict(t: Table) -> DataFrame:
