@@ -31,6 +31,26 @@ from lamina.sources.meta import MetaSet
 SUFFIX = ".table"
 #: A file's name beside its rows.
 FILE = "_file"
+#: Bytes of values in a data file, and how many files one change writes before they get larger.
+FILE_BYTES, MOST_FILES = 256 << 20, 50_000
+
+
+def rows_per_file(n: int, width: int) -> int:
+    """How many of ``n`` rows of ``width`` bytes go into a file."""
+    return max(1, FILE_BYTES // max(1, width), -(-n // MOST_FILES))
+
+
+def runs_of(files: list[dict]) -> list[tuple[int, int, list[dict]]]:
+    """(first position, rows, files) of each stretch of files without a gap."""
+    out: list[tuple[int, int, list[dict]]] = []
+    for f in sorted(files, key=lambda f: f["low"]):
+        if out and out[-1][0] + out[-1][1] == f["low"]:
+            low, n, some = out[-1]
+            some.append(f)
+            out[-1] = (low, n + f["n"], some)
+        else:
+            out.append((f["low"], f["n"], [f]))
+    return out
 
 
 def number_rows(df: DataFrame, path: str, first: int = 0) -> DataFrame:
@@ -339,14 +359,36 @@ class Table(Mapping):
 
     # ---- writes
 
-    def _write(self, rows: DataFrame, columns: list[dict] | None = None) -> list[dict]:
-        """Write rows (with positions) clustered by position; the files and their ranges."""
-        columns = self._state["columns"] if columns is None else columns
+    def _write(self, rows: DataFrame, runs: list[tuple[int, int, list[dict]]]) -> list[dict]:
+        """Write rows (with positions) clustered by position; the files and their ranges.
+
+        ``runs`` says which positions there are (see runs_of), so each row's file
+        follows from its position: nothing is sampled, and ``rows`` is worked out once.
+        Rows of several runs come with the names of their files, which are as many as the
+        manifest lists and tell the run.
+        """
+        columns = self._state["columns"]
         version = self.version + 1
         name = f"data/v{version:010d}-{uuid.uuid4().hex}"
-        out = rows.select(ROWID, *[F.col(c["name"]).alias(c["physical"]) for c in columns])
+        total = sum(n for _, n, _ in runs)
+        if not total:
+            return []
+        each = rows_per_file(total, sum(types.width_bytes(c.dtype) for c in self.spec.values()))
+        places, parts = [], 0
+        for low, n, files in runs:
+            places.append((low, parts, files))
+            parts += -(-n // each)
+        if len(runs) > 1:
+            where = [(f["path"].rpartition("/")[2], low, first) for low, first, files in places for f in files]
+            rows = rows.join(F.broadcast(self.spark.createDataFrame(where, f"{FILE} string, _low long, _first long")), FILE)
+            low, first = F.col("_low"), F.col("_first")
+        else:
+            low, first = F.lit(places[0][0]), F.lit(0)
+        part = (first + F.floor((F.col(ROWID) - low) / each)).cast("int").alias("_part")
+        out = rows.select(ROWID, *[F.col(c["name"]).alias(c["physical"]) for c in columns], part)
         try:
-            out.repartitionByRange(ROWID).sortWithinPartitions(ROWID).write.options(**self.spec.write_options()).parquet(self.files.at(name))
+            placed = out.repartitionById(parts, F.col("_part")).drop("_part").sortWithinPartitions(ROWID)
+            placed.write.options(**self.spec.write_options()).parquet(self.files.at(name))
         except PySparkException as e:
             self.files.delete(name)
             raise _as_value_error(e) from e
@@ -373,7 +415,9 @@ class Table(Mapping):
         if set(names) != set(self.column_names):
             raise ValueError(f"the data have columns {names}, the table {self.column_names}")
         numbered = self._number(df.select(*[c.coerce(F.col(c.name)).alias(c.name) for c in self.spec.values()]), self.nrows)
-        files = self._write(numbered)
+        # counted from the footers of what is staged
+        count = self.spark.read.schema("_mid long").parquet(self.files.at(self._staged)).count()
+        files = self._write(numbered, [(self.nrows, count, [])])
         self.files.delete(self._staged)
         seen = {"streams": {**self._state.get("streams", {}), batch[0]: batch[1]}} if batch else {}
         self._commit(files=[*self._state["files"], *files], nrows=self.nrows + sum(f["n"] for f in files), **seen)
@@ -460,7 +504,7 @@ class Table(Mapping):
         files = self._files_of(rows)
         if not files or count == 0:
             return
-        old = self.frame(files)
+        old = self.frame(files, with_file=True)
         if many:
             updates = self._updates(rows, values, count, spec)
             new = old.join(updates, ROWID, "left").withColumn(column, F.coalesce("_value", column)).drop("_value")
@@ -475,7 +519,7 @@ class Table(Mapping):
                 old = old.join(ids.withColumn("_hit", F.lit(True)), ROWID, "left")
                 hit = F.col("_hit")
             new = old.withColumn(column, F.when(hit, value).otherwise(F.col(column))).drop("_hit")
-        written = self._write(new)
+        written = self._write(new, runs_of(files))
         kept = [f for f in self._state["files"] if f not in files]
         if sum(f["n"] for f in written) != sum(f["n"] for f in files):
             raise RuntimeError("an update must not change the number of rows")
@@ -511,10 +555,10 @@ class Table(Mapping):
         if nrows < self.nrows:
             kept = [f for f in files if f["high"] < nrows]
             if cut := [f for f in files if f["low"] < nrows <= f["high"]]:
-                kept += self._write(self.frame(cut).filter(F.col(ROWID) < nrows))
+                kept += self._write(self.frame(cut).filter(F.col(ROWID) < nrows), [(cut[0]["low"], nrows - cut[0]["low"], [])])
         elif nrows > self.nrows:
             fills = [c.fill_column().alias(c.name) for c in self.spec.values()]
-            kept = [*files, *self._write(self.spark.range(self.nrows, nrows).select(F.col("id").alias(ROWID), *fills))]
+            kept = [*files, *self._write(self.spark.range(self.nrows, nrows).select(F.col("id").alias(ROWID), *fills), [(self.nrows, nrows - self.nrows, [])])]
         else:
             return
         self._commit(files=kept, nrows=nrows)
@@ -550,7 +594,7 @@ class Table(Mapping):
         files = self._state["files"]
         columns = self._state["columns"]
         if len({f["path"].split("/")[1] for f in files}) > 1 or any(c["since"] > f["version"] for c in columns for f in files[:1]):
-            self._commit(files=self._write(self.frame()), touched=[])
+            self._commit(files=self._write(self.frame(), [(0, self.nrows, [])]), touched=[])
         used = {f["path"].split("/")[1] for f in self._state["files"]}
         for name in self.files.names("data"):
             if name not in used:
@@ -602,7 +646,9 @@ class Table(Mapping):
             raise RuntimeError(f"column {column!r} has an index")
         name = f"index/{column}-{uuid.uuid4().hex}"
         pairs = self.frame().select(F.col(column).alias("value"), ROWID)
-        pairs.repartitionByRange("value", ROWID).sortWithinPartitions("value", ROWID).write.option("compression", "zstd").parquet(self.files.at(name))
+        width = types.width_bytes(self.spec[column].dtype) + 8
+        parts = -(-self.nrows // rows_per_file(self.nrows, width)) or 1
+        pairs.repartitionByRange(parts, "value", ROWID).sortWithinPartitions("value", ROWID).write.option("compression", "zstd").parquet(self.files.at(name))
         depth, self._depth = self._depth, 1
         try:
             self._commit(indexes={**self._state["indexes"], column: {"path": name, "fresh": True}})

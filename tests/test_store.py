@@ -632,3 +632,33 @@ def test_fits_numbers(spark, tmp_path):
         assert got == [(0, 0, 0, 127, 0.0, 5, [0.0, 0.5, -1.0], [32768, 32769]), (40000, (1 << 31) - 1, big - 1, -128, 12.0, None, [1.0, 2.0, 3.0], [0, 65535])]
     t = from_fits(spark, f"{tmp_path}/out", f"{tmp_path}/b.fits")
     assert sorted(values(t, "u2")) == [0, 40000] and t["vec"][0] in ([1.0, 2.0, 3.0], [0.0, 0.5, -1.0])
+
+
+def test_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Files hold as many rows as their bound says, in stretches without gaps; an update of several stretches keeps to them."""
+    from lamina.sources import table
+
+    monkeypatch.setattr(table, "FILE_BYTES", 16 * 100)
+    t = Store.create_from_dataframe(spark, f"{tmp_path}/s", spark.range(1000, numPartitions=3).select("id", (F.col("id") * 2).alias("v")))
+    ranges = lambda: [(f["low"], f["high"]) for f in sorted(t._state["files"], key=lambda f: f["low"])]
+    hundreds = [(a, a + 99) for a in range(0, 1000, 100)]
+    assert ranges() == hundreds
+    before = {f["path"] for f in t._state["files"]}
+    t["v"][(t["id"] < 5) | t["id"].between(290, 310) | (t["id"] == 999)] = -1
+    assert ranges() == hundreds and len(before & {f["path"] for f in t._state["files"]}) == 6
+    t["v"][[950, 7]] = [-7, -8]
+    want = {i: -1 if i < 5 or 290 <= i <= 310 or i == 999 else {950: -7, 7: -8}.get(i, 2 * i) for i in range(1000)}
+    assert {r["id"]: r["v"] for r in t.read().collect()} == want and ranges() == hundreds
+    t.append(spark.range(150).select("id", F.col("id").alias("v")))
+    t.append(spark.range(0).select("id", F.col("id").alias("v")))
+    assert ranges() == [*hundreds, (1000, 1099), (1100, 1149)]
+    t.resize(1120)
+    t.verify()
+    t.vacuum()
+    assert ranges() == [*hundreds, (1000, 1099), (1100, 1119)]
+    t.create_index("v")
+    assert len(t.index_filenames("v")) > 5 and t["v"].between(-8, -7).count() == 2
+    monkeypatch.setattr(table, "MOST_FILES", 4)
+    t["v"][:] = 0
+    assert ranges() == [(a, a + 279) for a in range(0, 1120, 280)] and t.read().filter("v != 0").count() == 0
+    t.verify()
